@@ -6,8 +6,6 @@ span costs two look-ups; a finaliser spreads them over all 64 bits.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 
@@ -26,15 +24,17 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-@lru_cache(2)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for m in (_MULT, _INV):
-        p = np.full(1 << bits, U(m))
-        p[0] = 1
-        with np.errstate(over="ignore"):
-            out.append(np.cumprod(p, dtype=U))
-    return out[0], out[1]
+_tables: list[np.ndarray] = [np.ones(0, U), np.ones(0, U)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the multiplier and of its inverse, at least n."""
+    if len(_tables[0]) < n:
+        for i, m in enumerate((_MULT, _INV)):
+            p = np.full(1 << max(21, n.bit_length()), U(m))
+            p[0] = 1
+            _tables[i] = np.cumprod(p, dtype=U)
+    return _tables
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -51,7 +51,7 @@ class Spans:
     """Hashes of any spans of one sequence of small or 64-bit values."""
 
     def __init__(self, values: np.ndarray):
-        self.power, self.inverse = _powers(max(12, int(len(values)).bit_length()))
+        self.power, self.inverse = _powers(len(values) + 1)
         self.sums = np.zeros(len(values) + 1, U)
         np.cumsum((values.astype(U) + U(1)) * self.power[: len(values)], out=self.sums[1:])
 
@@ -113,7 +113,7 @@ def anchored_runs(grams: np.ndarray, first: np.ndarray, window: int, k: int) ->
     none = np.zeros(0, np.int64)
     if n < w:
         return none, none, none, none
-    bits = max(1, n.bit_length())
+    bits = 24 if n < 1 << 24 else 40  # fixed, so that ties of cut hashes fall alike everywhere
     low = U((1 << bits) - 1)
     keys = (mix(grams ^ U(0x5851F42D4C957F2D)) & ~low) | (low - np.arange(n, dtype=U))
     anchor = (low - (sliding_min(keys, w) & low)).astype(np.int64)
