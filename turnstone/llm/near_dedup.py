@@ -9,8 +9,9 @@ at similarity 0.8 about once in seven million.
 Equal sets share one representative. A bucket of at most SMALL members gives all
 its plausible pairs. In a larger one every member is first compared with the
 bucket's least member; after those links are joined to components, members outside
-the bucket's largest component are compared with all that the sketch can't rule out
-in other components. So no link between components is lost, and a group of copies
+their cluster's largest component are compared first with a few delegates of it, and
+those that stay outside with all in other components that neither the sketch nor the
+number of shingles shared with others rules out. So no link between components is lost, and a group of copies
 costs as many comparisons as it has members. Components come from contracting
 links in rounds; nothing but counts comes to the driver.
 """
@@ -31,6 +32,7 @@ from .suffix_dedup import keyed
 BANDS, ROWS = 30, 4
 SKETCH_WORDS = 4  # of 64 bits
 SMALL = 32
+SALTS = 16
 #: Of 256 bits; at similarity 0.8 about 42 differ, and 80 are over five deviations off.
 MOST_BITS = 80
 _SEED = mix(np.arange(1, BANDS * ROWS + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
@@ -194,6 +196,60 @@ def components(links: DataFrame, label: str = "links") -> DataFrame:
     return nodes if nodes is not None else edges.select("x", F.col("y").alias("c"))
 
 
+def _bounded(a: str, b: str, percent: int) -> str:
+    """SQL: what each shares with others leaves room for the similarity."""
+    most = f"least({a}.k, {b}.k)"
+    return f"100 * {most} >= {percent} * ({a}.n + {b}.n - {most})"
+
+
+def outside(named: DataFrame, texts_of, k: int, percent: int) -> DataFrame:
+    """x, n, sketch, g, k: members of large buckets, their clusters, and how many shingles each shares with other components.
+
+    named: band, x, n, c. Two members can have at most the lesser k in common, so this
+    bounds their similarity exactly; members that it rules out altogether are left out.
+    Shingles are counted within clusters, the sets of members that buckets connect.
+    """
+    heads = named.groupBy("band").agg(F.min("x").alias("y"))
+    star = named.join(heads, "band").select("x", "y").where("x <> y").distinct()
+    who = named.groupBy("x").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.first("sketch").alias("sketch"))
+    who = stored(who.join(components(star, "clusters").withColumnRenamed("c", "g"), "x", "left").withColumn("g", F.coalesce("g", "x")), "who")
+    key = who.schema["x"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole, "text"):
+                hashes, first = shingles(batch.column(1), k)
+                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(signed(hashes)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["x", "s"])
+
+    sets = texts_of(who.select("x")).select("x", "text").mapInArrow(run, f"x {key}, s array<long>")
+    tokens = sets.join(who.select("x", "g", "c"), "x").select("x", "g", "c", F.explode("s").alias("s"))
+    tokens = stored(tokens, "tokens")
+    shared = tokens.groupBy("g", "s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("g", "s")
+    counts = tokens.join(shared, ["g", "s"], "left_semi").groupBy("x").agg(F.count(F.lit(1)).alias("k"))
+    return stored(who.join(counts, "x").where(f"100 * k >= {percent} * n").select("x", "n", "sketch", "g", "k"), "bounds")
+
+
+def across(who: DataFrame, nodes: DataFrame, percent: int, delegates: bool) -> DataFrame:
+    """x, y: pairs of one cluster in different components that no bound rules out.
+
+    One of the two is outside the cluster's largest component; the other is any
+    member, or one of SALTS delegates of the largest component. The members of a
+    cluster are dealt out in SALTS parts, each of which meets those outside.
+    """
+    now = stored(who.join(nodes, "x", "left").withColumn("c", F.coalesce("c", "x")), "now")
+    main = now.groupBy("g", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("g").agg(F.max_by("c", F.struct("m", "c")).alias("main"))
+    now = now.join(main, "g")
+    far = now.where("c <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    near = now.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int"))
+    if delegates:
+        # The least hashes of each part are found with map-side combination.
+        chosen = near.where("c = main").groupBy("g", "salt").agg(F.min(F.struct(F.xxhash64("x").alias("o"), "x")).alias("d")).select("d.x")
+        near = near.join(chosen, "x", "left_semi")
+    met = far.alias("a").join(near.alias("b"), F.expr(f"a.g = b.g AND a.salt = b.salt AND a.c <> b.c AND {_bounded('a', 'b', percent)} AND {_plausible('a', 'b', percent)}"))
+    return met.select(F.least("a.x", "b.x").alias("x"), F.greatest("a.x", "b.x").alias("y")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, t, n_shingles, component_id, kept for each row of docs.
 
@@ -211,10 +267,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     ordered = [F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")]
     pairs = stored(found.where("y IS NOT NULL").select(*ordered).where("x <> y").distinct(), "pairs")
 
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        return stored(own.withColumnRenamed("doc_id", "x").join(reps.select("x", "t").join(nodes, "x"), ["x", "t"]).select("x", "text"), "texts")
+
     def links_of(some: DataFrame) -> DataFrame:
         nodes = some.select("x").union(some.select(F.col("y").alias("x"))).distinct()
-        texts = own.withColumnRenamed("doc_id", "x").join(reps.select("x", "t").join(nodes, "x"), ["x", "t"]).select("x", "text")
-        return stored(confirmed(some, stored(texts, "texts"), k, percent), "confirmed")
+        return stored(confirmed(some, texts_of(nodes), k, percent), "confirmed")
 
     links = links_of(pairs)
     nodes = components(links)
@@ -224,11 +282,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         main = named.groupBy("band", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("band").agg(F.max_by("c", F.struct("k", "c")).alias("main"))
         apart = stored(named.join(main, "band").where("c <> main"), "apart")
         if not apart.isEmpty():
-            met = apart.alias("a").join(named.alias("b"), F.expr(f"a.band = b.band AND a.c <> b.c AND {_plausible('a', 'b', percent)}"))
-            more = met.select(F.least("a.x", "b.x").alias("x"), F.greatest("a.x", "b.x").alias("y")).distinct().join(pairs, ["x", "y"], "left_anti")
-            more = stored(more, "more")
-            if not more.isEmpty():
-                nodes = components(links.unionByName(links_of(more)), "links2")
+            who = outside(named, texts_of, k, percent)
+            # First with a few delegates of each cluster's largest component, then with all.
+            for delegates in (True, False):
+                pairs2 = stored(across(who, nodes, percent, delegates).join(pairs, ["x", "y"], "left_anti"), "more")
+                if not pairs2.isEmpty():
+                    links = stored(links.unionByName(links_of(pairs2)), "links")
+                    nodes = components(links)
+                    pairs = pairs.unionByName(pairs2)
     ids = reps.join(nodes, "x", "left").select("f1", "f2", F.coalesce("c", "x").alias("c"))
     out = signs.select("doc_id", "t", "n", "f1", "f2").join(ids, ["f1", "f2"], "left")
     least = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
