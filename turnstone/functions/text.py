@@ -18,6 +18,11 @@ _CODE = "{}[]()<>=|\\`#;"
 _DIGITS = "0123456789"
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with value bound to a variable, so that it stands in the plan once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, _UPPER, _LOWER)
 
@@ -62,16 +67,20 @@ def is_ban(found: Column) -> Column:
     return F.exists(found, lambda m: m["category"] == "ban")
 
 
+def _strength(found: Column) -> Column:
+    """0 none, 1 soft, 2 strong; confirmations don't count."""
+    one = lambda m: F.when(m["category"] == "confirmation", 0).when(m["tier"] == "strong", 2).otherwise(1)
+    return F.coalesce(F.array_max(F.transform(found, one)), F.lit(0))
+
+
 def strongest_tier(found: Column) -> Column:
     """strong, soft or none; confirmations don't count."""
-    own = F.filter(found, lambda m: m["category"] != "confirmation")
-    return F.when(F.exists(own, lambda m: m["tier"] == "strong"), "strong").when(F.size(own) > 0, "soft").otherwise("none")
+    return F.get(F.array(F.lit("none"), F.lit("soft"), F.lit("strong")), _strength(found))
 
 
 def seeds_decision(found: Column, edited: Column) -> Column:
     """A strong marker, or a soft one in a session with a successful edit."""
-    tier = strongest_tier(found)
-    return (tier == "strong") | ((tier == "soft") & edited)
+    return F.get(F.array(F.lit(False), edited, F.lit(True)), _strength(found))
 
 
 def category_bonus(found: Column) -> Column:
@@ -85,22 +94,24 @@ def category_bonus(found: Column) -> Column:
 
 
 def seed_score(found: Column, edited: Column, ban: Column, question: Column) -> Column:
-    """Tier, category, edit, ban and question terms, in single precision and in this order."""
+    """Tier, category, edit, ban and question terms, in single precision and in this order.
+
+    Each argument stands once in the expression, so that filters on the result can
+    be pushed down without growing.
+    """
     f = lambda x: F.lit(x).cast("float")
-    tier = strongest_tier(found)
-    base = F.when(tier == "strong", f(R.TIER_BASE["strong"])).when(tier == "soft", f(R.TIER_BASE["soft"])).otherwise(f(R.TIER_BASE["none"]))
+    base = F.get(F.array(*[f(R.TIER_BASE[t]) for t in ("none", "soft", "strong")]), _strength(found))
     score = (base + category_bonus(found)).cast("float")
     score = (score + F.when(edited, f(0.25)).otherwise(f(0.05))).cast("float")
-    score = F.when(ban, (score + f(0.10)).cast("float")).otherwise(score)
-    score = F.when(question, (score - f(0.30)).cast("float")).otherwise(score)
+    score = (score + F.when(ban, f(0.10)).otherwise(f(0.0))).cast("float")
+    score = (score - F.when(question, f(0.30)).otherwise(f(0.0))).cast("float")
     return F.least(f(1.0), F.greatest(f(0.0), score))
 
 
 def tier_for(score: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for least, name in reversed(R.TIERS):
-        out = F.when(score >= F.lit(least).cast("float"), name).otherwise(out)
-    return out
+    least = F.array(*[F.lit(x).cast("float") for x, _ in reversed(R.TIERS)])
+    names = F.array(F.lit(None).cast("string"), *[F.lit(n) for _, n in reversed(R.TIERS)])
+    return F.get(names, F.size(F.filter(least, lambda x: x <= score)))
 
 
 # ---- hygiene ----
@@ -112,8 +123,8 @@ def alpha_word_count(text: Column) -> Column:
 
 
 def is_bare_token(line: Column) -> Column:
-    """One id, URL, path or markup token."""
-    t = trim(line)
+    """One id, URL, path or markup token; line is trimmed."""
+    t = line
     one = (t != "") & ~t.rlike(r"(?U)\s")
     marked = t.startswith("<") | t.startswith("[") | t.startswith("http://") | t.startswith("https://") | t.contains("/") | t.contains("::")
     opaque = (F.octet_length(t) >= 12) & (_count(t, _DIGITS) > 0) & (t.contains("_") | t.contains("-"))
@@ -126,18 +137,15 @@ def is_punctuation_dominated(line: Column) -> Column:
 
 
 def is_junk_line(line: Column, extra: tuple[str, ...] = ()) -> Column:
-    t = trim(line)
-    hit = F.lit(False)
-    for pattern in (*R.LINE_REJECTS, *extra):
-        hit = hit | t.rlike("(?idU)" + pattern.replace("$", r"\z"))
-    return is_bare_token(t) | is_punctuation_dominated(t) | hit
+    # line is trimmed
+    every = "|".join(f"(?:{p})" for p in (*R.LINE_REJECTS, *extra))
+    return is_bare_token(line) | is_punctuation_dominated(line) | line.rlike("(?idU)" + every)
 
 
 def clean_prose(text: Column, extra: tuple[str, ...] = ()) -> Column:
     """Lines that aren't junk, joined by newlines; null if they hold under three words."""
-    left = F.array_join(F.filter(F.split(text, r"\r?\n"), lambda x: (trim(x) != "") & ~is_junk_line(x, extra)), "\n")
-    left = trim(left)
-    return F.when(alpha_word_count(left) >= 3, left)
+    left = F.array_join(F.filter(F.split(text, r"\r?\n"), lambda x: once(trim(x), lambda t: (t != "") & ~is_junk_line(t, extra))), "\n")
+    return once(trim(left), lambda t: F.when(alpha_word_count(t) >= 3, t))
 
 
 def languageness(text: Column) -> Column:
@@ -226,8 +234,7 @@ def parse_ts(text: Column) -> Column:
 
 def round6(x: Column) -> Column:
     """Six decimals, halves away from zero; what isn't finite is 0."""
-    r = F.signum(x) * F.floor(F.abs(x) * 1e6 + 0.5) / 1e6
-    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(r)
+    return once(x, lambda v: F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), 0.0).otherwise(F.signum(v) * F.floor(F.abs(v) * 1e6 + 0.5) / 1e6))
 
 
 # Coefficients of the complementary error function's rational approximation.
@@ -235,13 +242,18 @@ ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807
 
 
 def erfc(x: Column) -> Column:
-    z = F.abs(x)
-    t = 1.0 / (1.0 + 0.5 * z)
-    poly = F.lit(ERFC[-1])
-    for c in reversed(ERFC[:-1]):
-        poly = F.lit(c) + t * poly
-    y = t * F.exp(-z * z + poly)
-    return F.when(x >= 0, y).otherwise(2.0 - y)
+    def at(v: Column) -> Column:
+        z = F.abs(v)
+
+        def of(t: Column) -> Column:
+            poly = F.lit(ERFC[-1])
+            for c in reversed(ERFC[:-1]):
+                poly = F.lit(c) + t * poly
+            return t * F.exp(-z * z + poly)
+
+        return once(once(1.0 / (1.0 + 0.5 * z), of), lambda y: F.when(v >= 0, y).otherwise(2.0 - y))
+
+    return once(x, at)
 
 
 # Other names of each tool, and what in a path tells it, first match first.

@@ -68,8 +68,9 @@ def supersedes(events: DataFrame) -> DataFrame:
 def decisions(events: DataFrame, clean: bool = True) -> DataFrame:
     """Turns with markers, their score from tier, category, edits, bans and questions, and its tier."""
     turns = events.where("kind IN ('user_turn', 'assistant_turn')")
-    turns = turns.withColumn("text", T.clean_prose(F.col("text")) if clean else F.col("text")).where("text IS NOT NULL")
-    marked = turns.withColumn("markers", T.markers(F.col("text"))).where(F.size("markers") > 0)
+    prose = T.clean_prose(F.col("text")) if clean else F.col("text")
+    marked = turns.withColumn("d", T.once(prose, lambda t: F.struct(t.alias("text"), T.markers(t).alias("markers"))))
+    marked = marked.where(F.size("d.markers") > 0).select("run_id", "session_id", "seq", "ts", "d.text", "d.markers")
     edited = edited_sessions(episodes(events)).withColumn("edited", F.lit(True))
     scored = marked.join(edited, ["run_id", "session_id"], "left").withColumn("edited", F.coalesce("edited", F.lit(False)))
     scored = scored.withColumn("is_ban", T.is_ban(F.col("markers"))).withColumn("score", T.seed_score(F.col("markers"), F.col("edited"), F.col("is_ban"), T.is_question(F.col("text"))))

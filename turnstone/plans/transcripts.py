@@ -1,0 +1,238 @@
+"""Queries over transcripts made from the events table, and over real text, each with DuckDB SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import rules as R
+from ..functions import text as T
+from ..operators import transcript as O
+from ..sources.lines import split_lines
+
+PHRASES = (
+    "let's use Postgres instead of MongoDB for the session store",
+    "please note that the cache must never hold secrets",
+    "how do we rotate the signing keys here?",
+    "do not add any new dependencies to the parser crate",
+    "refactor the retry loop and extract the backoff into a helper",
+    "looks fine so far, nothing else from me today",
+    "we decided to stick with protobuf rather than JSON",
+    "going forward every handler should log the request id",
+    "sounds good, ship it when the tests pass",
+    "add the missing index on orders and remove the old one",
+    "avoid using global state in the worker pool please",
+    "the deprecated endpoint is retired next week",
+)
+
+
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as transcripts: a user is a session and a file; time runs 97 seconds an event."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "ts", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    e = e.select(F.concat(F.lit("u"), F.col("user_id")).alias("run_id"), F.col("ts").alias("line_no"), F.col("event_id").alias("ord"), "event_type", "k")
+    e = O.number(e)
+    kind = (
+        F.when(F.col("event_type") == "signup", "user_turn").when(F.col("event_type") == "view", "assistant_turn").when(F.col("event_type") == "click", "file_edit")
+        .when(F.col("event_type") == "error", "tool_result").when(F.col("k") % 10 == 0, "rewind").when(F.col("k") % 10 == 5, "compaction").otherwise("user_turn")
+    )
+    e = e.withColumn("kind", kind)
+    turn = F.col("kind").isin("user_turn", "assistant_turn")
+    call = F.concat(F.lit("c"), F.col("k") % 40)
+    return e.select(
+        "run_id", F.col("run_id").alias("session_id"), "seq", F.concat(F.lit("e"), F.col("seq")).alias("event_id"), "kind",
+        F.timestamp_seconds(F.lit(1704067200) + F.col("seq") * 97).alias("ts"),
+        F.when(turn, F.element_at(F.array(*[F.lit(x) for x in PHRASES]), F.col("k") % len(PHRASES) + 1)).alias("text"),
+        F.when(F.col("kind") == "file_edit", F.concat(F.lit("src/mod_"), F.col("k") % 7, F.lit(".rs"))).alias("path"),
+        F.when(F.col("kind").isin("file_edit", "tool_result") & (F.col("k") % 11 != 0), call).alias("call_id"),
+        F.when(F.col("kind") == "tool_result", F.col("k") % 3 != 0).alias("ok"),
+        F.when(F.col("kind") == "rewind", F.concat(F.lit("e"), F.col("seq") - 6)).alias("to_event"),
+        F.when(F.col("kind") == "compaction", F.greatest(F.lit(0), F.col("seq") - 9)).alias("first"),
+        F.when(F.col("kind") == "compaction", F.col("seq") - 2).alias("last"),
+    )
+
+
+def _nodes(spark, sf_dir):
+    ev = transcripts(spark, sf_dir)
+    found, decided = O.episodes(ev), O.decisions(ev)
+    return ev, found, decided, O.bindings(found, decided)
+
+
+def event_kinds(spark, sf_dir):
+    return transcripts(spark, sf_dir).groupBy("run_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+
+
+def gate_markers(spark, sf_dir):
+    t = transcripts(spark, sf_dir).where("text IS NOT NULL").select("run_id", "seq", F.posexplode(T.markers(F.col("text"))).alias("i", "m"))
+    return t.select("run_id", "seq", F.col("i").cast("bigint").alias("i"), "m.rule_id", "m.category", "m.tier", "m.matched_text")
+
+
+def episode_nodes(spark, sf_dir):
+    return O.episodes(transcripts(spark, sf_dir)).select("run_id", "seq", "path", "episode_id")
+
+
+def edited_sessions(spark, sf_dir):
+    return O.edited_sessions(O.episodes(transcripts(spark, sf_dir)))
+
+
+def superseded_turns(spark, sf_dir):
+    return O.supersedes(transcripts(spark, sf_dir)).select("run_id", "seq", "superseded_by")
+
+
+def decision_nodes(spark, sf_dir):
+    return O.decisions(transcripts(spark, sf_dir)).select("run_id", "seq", "is_ban", F.round(F.col("score").cast("double"), 4).alias("score"), "fact_status", "superseded_by", "n_markers")
+
+
+def binding_edges(spark, sf_dir):
+    b = _nodes(spark, sf_dir)[3]
+    return b.select("run_id", "decision_id", "episode_id", "path", F.unix_seconds("t_use").alias("t_use"), F.unix_seconds("t_gen").alias("t_gen"))
+
+
+def binding_statistics(spark, sf_dir):
+    c = O.correlations(_nodes(spark, sf_dir)[3])
+    return c.select("decision_id", "episode_id", "support", "confidence", "lift", "phi", F.round("p", 4).alias("p"))
+
+
+def node_counts(spark, sf_dir):
+    _, found, decided, bound = _nodes(spark, sf_dir)
+    return O.nodes(decided, found, bound).groupBy("node", "fact_status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def document_lines(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    x = split_lines(d, ["doc_id"], F.col("text"))
+    return x.select("doc_id", "line_no", "byte_offset", F.octet_length("line").cast("bigint").alias("n_bytes"))
+
+
+def prose_lines(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select("doc_id", F.coalesce(F.md5(T.clean_prose(F.col("text")).cast("binary")), F.lit("-")).alias("prose_md5"))
+
+
+def turn_words(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return c.groupBy("role").agg(F.count(F.lit(1)).alias("turns"), F.sum(T.alpha_word_count(F.col("text"))).alias("words"), F.count_if(T.is_question(F.col("text"))).alias("questions"), F.count_if(T.is_shouting(F.col("text"))).alias("shouts"))
+
+
+def language_like(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.count_if(T.is_garbage(F.col("text"))).alias("garbage"), F.count_if(T.looks_like_code_or_log(F.col("text"))).alias("code"))
+
+
+def redacted_pages(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return p.select("page_id", T.contains_secret(F.col("html")).alias("secret"), F.md5(T.redact(F.col("html")).cast("binary")).alias("redacted_md5"), F.md5(T.decode_entities(F.col("html")).cast("binary")).alias("decoded_md5"))
+
+
+def tools_of_urls(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return p.select("page_id", T.infer_source(F.col("url")).alias("tool"))
+
+
+# ---- the same in DuckDB ----
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_EVENTS = f"""
+numbered AS (
+  SELECT 'u' || user_id AS run_id, event_type, json_extract(props, '$.k')::INT AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq FROM events
+), kinds AS (
+  SELECT *, CASE WHEN event_type = 'signup' THEN 'user_turn' WHEN event_type = 'view' THEN 'assistant_turn' WHEN event_type = 'click' THEN 'file_edit'
+    WHEN event_type = 'error' THEN 'tool_result' WHEN k % 10 = 0 THEN 'rewind' WHEN k % 10 = 5 THEN 'compaction' ELSE 'user_turn' END AS kind FROM numbered
+), ev AS (
+  SELECT run_id, seq, kind, 1704067200 + seq * 97 AS t,
+    CASE WHEN kind IN ('user_turn', 'assistant_turn') THEN ([{', '.join(map(_q, PHRASES))}])[k % {len(PHRASES)} + 1] END AS text,
+    CASE WHEN kind = 'file_edit' THEN 'src/mod_' || (k % 7) || '.rs' END AS path,
+    CASE WHEN kind IN ('file_edit', 'tool_result') AND k % 11 <> 0 THEN 'c' || (k % 40) END AS call_id,
+    CASE WHEN kind = 'tool_result' THEN k % 3 <> 0 END AS ok,
+    CASE WHEN kind = 'rewind' THEN seq - 6 END AS target, greatest(0, seq - 9) AS first, seq - 2 AS last
+  FROM kinds
+)"""
+_EPISODES = """
+failed AS (SELECT run_id, call_id FROM ev WHERE kind = 'tool_result' AND call_id IS NOT NULL GROUP BY ALL HAVING NOT arg_max(ok, seq)),
+ep AS (SELECT e.run_id, seq, t, path, 'episode:' || sha256(e.run_id || ':' || seq || ':' || path) AS episode_id FROM ev e WHERE kind = 'file_edit' AND NOT EXISTS (SELECT 1 FROM failed f WHERE f.run_id = e.run_id AND f.call_id = e.call_id))"""
+_SUPERSEDED = """
+marks AS (
+  SELECT run_id, seq AS at_, target + 1 AS lo, seq AS hi, 'rewind:' || run_id || ':' || seq AS marker FROM ev WHERE kind = 'rewind' AND target >= 0
+  UNION ALL SELECT run_id, seq, first, last - 1, 'compaction:' || run_id || ':' || first || '-' || last FROM ev WHERE kind = 'compaction'
+), sup AS (SELECT e.run_id, e.seq, arg_max(marker, at_) AS superseded_by FROM ev e JOIN marks m ON e.run_id = m.run_id AND e.seq BETWEEN lo AND hi GROUP BY ALL)"""
+_MARKERS = "[" + ", ".join(f"{{'rule_id': {_q(a)}, 'category': {_q(b)}, 'tier': {_q(c)}, 'matched_text': regexp_extract(text, {_q('(?i)' + d)}, 0)}}" for a, b, c, d in R.RULES) + "]"
+_QUESTION = "(ends_with({0}, '?') OR " + " OR ".join(f"starts_with(lower({{0}}), {_q(x)})" for x in T.QUESTION_LEADS) + " OR " + " OR ".join(f"contains(lower({{0}}), {_q(x)})" for x in T.QUESTION_INSIDE) + ")"
+_BONUS = "CASE x.category " + " ".join(f"WHEN {_q(k)} THEN {v}::FLOAT" for k, v in R.CATEGORY_BONUS.items()) + " END"
+_DECISIONS = f"""
+marked AS (SELECT run_id, seq, t, text, list_filter({_MARKERS}, lambda x: x.matched_text <> '') AS ms FROM ev WHERE text IS NOT NULL),
+terms AS (
+  SELECT run_id, seq, t, text, len(ms) AS n_markers, len(list_filter(ms, lambda x: x.category = 'ban')) > 0 AS is_ban,
+    CASE WHEN len(list_filter(ms, lambda x: x.category <> 'confirmation' AND x.tier = 'strong')) > 0 THEN 0.6::FLOAT WHEN len(list_filter(ms, lambda x: x.category <> 'confirmation')) > 0 THEN 0.35::FLOAT ELSE 0.3::FLOAT END AS base,
+    list_max(list_transform(ms, lambda x: {_BONUS})) AS bonus, run_id IN (SELECT run_id FROM ep) AS edited
+  FROM marked WHERE len(ms) > 0
+), scored AS (
+  SELECT *, ((base + bonus)::FLOAT + CASE WHEN edited THEN 0.25::FLOAT ELSE 0.05::FLOAT END)::FLOAT AS s1 FROM terms
+), scored2 AS (SELECT *, (CASE WHEN is_ban THEN (s1 + 0.1::FLOAT)::FLOAT ELSE s1 END)::FLOAT AS s2 FROM scored),
+scored3 AS (SELECT *, least(1::FLOAT, greatest(0::FLOAT, (CASE WHEN {_QUESTION.format('text')} THEN (s2 - 0.3::FLOAT)::FLOAT ELSE s2 END)::FLOAT)) AS score FROM scored2),
+dec AS (
+  SELECT s.run_id, s.seq, t, is_ban, score, n_markers, superseded_by, 'decision:' || s.run_id || ':' || s.seq AS decision_id,
+    CASE WHEN score >= 0.85::FLOAT THEN 'observed' WHEN score >= 0.65::FLOAT THEN 'deterministically_derived' WHEN score >= 0.45::FLOAT THEN 'statistically_ranked' END AS fact_status
+  FROM scored3 s LEFT JOIN sup USING (run_id, seq) WHERE score >= 0.45::FLOAT
+)"""
+_BINDINGS = f"""
+near_ AS (
+  SELECT e.run_id, d.decision_id, e.episode_id, e.path, d.t AS t_use, e.t AS t_gen, row_number() OVER (PARTITION BY e.episode_id ORDER BY d.t DESC, d.seq DESC) AS r
+  FROM ep e JOIN dec d ON e.run_id = d.run_id AND d.superseded_by IS NULL AND d.t <= e.t AND e.t - d.t <= {R.MAX_GAP_SECONDS}
+), bind AS (SELECT run_id, decision_id, episode_id, path, t_use, t_gen FROM near_ WHERE r = 1)"""
+_ALL = f"WITH {_EVENTS}, {_EPISODES}, {_SUPERSEDED}, {_DECISIONS}, {_BINDINGS}"
+_ROUND = "(CASE WHEN {0} IS NULL OR isnan({0}) THEN 0.0 ELSE sign({0}) * floor(abs({0}) * 1e6 + 0.5) / 1e6 END)::DOUBLE"
+_POLY = "0.17087277"
+for _c in reversed(T.ERFC[:-1]):
+    _POLY = f"({_c}::DOUBLE + tt * {_POLY})"
+_TRIM = "regexp_replace(regexp_replace({0}, '^\\s+', ''), '\\s+$', '')"
+_COUNT = "(length({0}) - length(translate({0}, {1}, '')))"
+_AZ = _q(T._LETTERS)
+_JUNK = (
+    "((x <> '' AND NOT regexp_matches(x, '\\s') AND (starts_with(x, '<') OR starts_with(x, '[') OR starts_with(x, 'http://') OR starts_with(x, 'https://') OR contains(x, '/') OR contains(x, '::')"
+    " OR (strlen(x) >= 12 AND regexp_matches(x, '[0-9]') AND (contains(x, '_') OR contains(x, '-')))))"
+    f" OR (length(x) >= 24 AND {_COUNT.format('x', _q(T._STRUCTURAL))}::DOUBLE / length(x) > 0.18) OR "
+    + " OR ".join(f"regexp_matches(x, {_q('(?i)' + p)})" for p in R.LINE_REJECTS) + ")"
+)
+_WORDS = f"len(list_filter(string_split_regex({{0}}, '\\s+'), lambda w: {_COUNT.format('w', _AZ)} >= 2))"
+_REDACTED = "html"
+for _label, _pattern in R.SECRETS:
+    _REDACTED = f"regexp_replace({_REDACTED}, {_q(_pattern)}, '[REDACTED:{_label}]', 'g')"
+_DECODED = "html"
+for _a, _b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    _DECODED = f"replace({_DECODED}, {_q(_a)}, {_q(_b)})"
+
+QUERIES = {f.__name__: f for f in (event_kinds, gate_markers, episode_nodes, edited_sessions, superseded_turns, decision_nodes, binding_edges, binding_statistics, node_counts, document_lines, prose_lines, turn_words, language_like, redacted_pages, tools_of_urls)}
+
+ORACLES = {
+    "event_kinds": f"WITH {_EVENTS} SELECT run_id, kind, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq FROM ev GROUP BY ALL",
+    "gate_markers": f"WITH {_EVENTS} SELECT run_id, seq, i, m.rule_id AS rule_id, m.category AS category, m.tier AS tier, m.matched_text AS matched_text FROM (SELECT run_id, seq, unnest(ms) AS m, generate_subscripts(ms, 1) - 1 AS i FROM (SELECT run_id, seq, list_filter({_MARKERS}, lambda x: x.matched_text <> '') AS ms FROM ev WHERE text IS NOT NULL))",
+    "episode_nodes": f"WITH {_EVENTS}, {_EPISODES} SELECT run_id, seq, path, episode_id FROM ep",
+    "edited_sessions": f"WITH {_EVENTS}, {_EPISODES} SELECT DISTINCT run_id, run_id AS session_id FROM ep",
+    "superseded_turns": f"WITH {_EVENTS}, {_SUPERSEDED} SELECT * FROM sup",
+    "decision_nodes": _ALL + " SELECT run_id, seq, is_ban, round(score::DOUBLE, 4) AS score, fact_status, superseded_by, n_markers::INT AS n_markers FROM dec",
+    "binding_edges": _ALL + " SELECT * FROM bind",
+    "binding_statistics": _ALL
+    + f""", counts AS (
+  SELECT decision_id, episode_id, count(*) OVER (PARTITION BY run_id, decision_id, path) AS n11, count(*) OVER (PARTITION BY run_id, decision_id) AS r1,
+    count(*) OVER (PARTITION BY run_id, path) AS c1, count(*) OVER (PARTITION BY run_id) AS n FROM bind
+), st AS (
+  SELECT *, n11::DOUBLE / n AS support_, n11::DOUBLE / r1 AS conf_, CASE WHEN r1 = n OR c1 = n THEN 0.0 ELSE (n11::DOUBLE * (n - r1 - c1 + n11) - (r1 - n11)::DOUBLE * (c1 - n11)) / sqrt(r1::DOUBLE * (n - r1) * c1 * (n - c1)) END AS phi_ FROM counts
+), st2 AS (SELECT *, conf_ / (c1::DOUBLE / n) AS lift_, sqrt(n * phi_ * phi_ / 2.0) AS z, 1.0::DOUBLE / (1.0 + 0.5 * sqrt(n * phi_ * phi_ / 2.0)) AS tt FROM st)
+SELECT decision_id, episode_id, CASE WHEN r1 >= 2 THEN {_ROUND.format('support_')} END AS support, CASE WHEN r1 >= 2 THEN {_ROUND.format('conf_')} END AS confidence,
+  CASE WHEN r1 >= 2 THEN {_ROUND.format('lift_')} END AS lift, CASE WHEN r1 >= 2 THEN {_ROUND.format('phi_')} END AS phi, round(CASE WHEN r1 >= 2 THEN {_ROUND.format(f'(tt * exp(-z * z + {_POLY}))')} END, 4) AS p FROM st2""",
+    "node_counts": _ALL + " SELECT node, fact_status, count(*) AS n FROM (SELECT 'decision' AS node, fact_status FROM dec UNION ALL SELECT 'episode', 'observed' FROM ep UNION ALL SELECT 'binding', 'deterministically_derived' FROM bind) GROUP BY ALL",
+    "document_lines": """SELECT doc_id, i AS line_no, (sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - strlen(line) - 1)::BIGINT AS byte_offset, strlen(line) AS n_bytes
+FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, CASE WHEN ends_with(text, chr(10)) OR text = '' THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END AS ls FROM documents))""",
+    "prose_lines": f"SELECT doc_id, coalesce(md5(CASE WHEN {_WORDS.format('p')} >= 3 THEN p END), '-') AS prose_md5 FROM (SELECT doc_id, {_TRIM.format('c')} AS p FROM (SELECT doc_id, array_to_string(list_filter(string_split_regex(text, '\\r?\\n'), lambda y: {_TRIM.format('y')} <> '' AND NOT {_JUNK.replace('x,', _TRIM.format('y') + ',').replace('(x)', '(' + _TRIM.format('y') + ')').replace('(x <>', '(' + _TRIM.format('y') + ' <>')}), chr(10)) AS c FROM documents))",
+    "turn_words": f"SELECT role, count(*) AS turns, sum({_WORDS.format('text')})::BIGINT AS words, count(*) FILTER ({_QUESTION.format('text')}) AS questions, count(*) FILTER ({_COUNT.format('text', _AZ)} >= 12 AND {_COUNT.format('text', _q(T._UPPER))}::DOUBLE / {_COUNT.format('text', _AZ)} > 0.6) AS shouts FROM conversations GROUP BY role",
+    "language_like": f"""WITH s AS (SELECT lang, text, {_TRIM.format('text')} AS s FROM documents),
+c AS (SELECT lang, text, s, length(s)::DOUBLE AS total, {_COUNT.format('s', _AZ)}::DOUBLE AS letters, {_COUNT.format('s', "'aeiouyAEIOUY'")}::DOUBLE AS vowels, length(regexp_replace(s, '[A-Za-z0-9\\s]', '', 'g'))::DOUBLE AS symbols, list_filter(string_split_regex(s, '\\s+'), lambda w: w <> '') AS ws FROM s),
+r AS (SELECT *, CASE WHEN s = '' THEN 0.0 ELSE 1.0 - greatest(0.0, 0.55 - letters / total) * 1.2 - greatest(0.0, 0.30 - CASE WHEN letters > 0 THEN vowels / letters ELSE 0.0 END) * 1.5
+  - (1.0 - len(list_filter(ws, lambda w: length(w) <= 3 OR (length(w) <= 32 AND {_COUNT.format('w', "'aeiouyAEIOUY'")} > 0)))::DOUBLE / greatest(len(ws), 1)) * 0.6 - greatest(0.0, symbols / total - 0.30) * 1.2 - CASE WHEN coalesce(list_max(list_transform(ws, lambda w: length(w))), 0) >= 40 THEN 0.4 ELSE 0.0 END END AS score FROM c)
+SELECT lang, count(*) AS docs, count(*) FILTER (score < 0.35) AS garbage, count(*) FILTER (starts_with(lower(text), 'echo ') OR contains(text, '####') OR contains(text, '::') OR contains(text, '->') OR {_COUNT.format('text', _q(T._CODE))}::DOUBLE / greatest(length(text), 1) > 0.12) AS code FROM r GROUP BY lang""",
+    "redacted_pages": f"SELECT page_id, {' OR '.join(f'regexp_matches(html, {_q(p)})' for _, p in R.SECRETS)} AS secret, md5({_REDACTED}) AS redacted_md5, md5({_DECODED}) AS decoded_md5 FROM pages",
+    "tools_of_urls": "SELECT page_id, CASE " + " ".join(f"WHEN contains(lower(url), {_q(a)}) THEN {_q(b)}" for a, b in T.PATH_PARTS) + " WHEN ends_with(lower(url), '.ndjson') THEN 'otel' END AS tool FROM pages",
+}
