@@ -8,11 +8,13 @@ at similarity 0.8 about once in seven million.
 
 Equal sets share one representative. A bucket of at most SMALL members gives all
 its plausible pairs. In a larger one every member is first compared with the
-bucket's least member; after those links are joined to components, members outside
-their cluster's largest component are compared first with a few delegates of it, and
-those that stay outside with all in other components that neither the sketch nor the
-number of shingles shared with others rules out. So no link between components is lost, and a group of copies
-costs as many comparisons as it has members. Components come from contracting
+bucket's least member. Links that this leaves between components of a cluster, the
+members that large buckets connect, are found exactly: each member is reduced to
+the shingles in which it differs from one reference, members meet by the rare ones
+of these, and a bound on how many they can share rules out the rest. A group of
+copies so costs about as many comparisons as it has members.
+
+Components come from contracting
 links in rounds; nothing but counts comes to the driver.
 """
 
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import pieces, stored
@@ -196,23 +198,28 @@ def components(links: DataFrame, label: str = "links") -> DataFrame:
     return nodes if nodes is not None else edges.select("x", F.col("y").alias("c"))
 
 
-def _bounded(a: str, b: str, percent: int) -> str:
-    """SQL: what each shares with others leaves room for the similarity."""
-    most = f"least({a}.k, {b}.k)"
-    return f"100 * {most} >= {percent} * ({a}.n + {b}.n - {most})"
-
-
-def outside(named: DataFrame, texts_of, k: int, percent: int) -> DataFrame:
-    """x, n, sketch, g, k: members of large buckets, their clusters, and how many shingles each shares with other components.
+def clusters(named: DataFrame) -> DataFrame:
+    """x, n, sketch, c, g, main: members of large buckets, where their cluster has several components.
 
-    named: band, x, n, c. Two members can have at most the lesser k in common, so this
-    bounds their similarity exactly; members that it rules out altogether are left out.
-    Shingles are counted within clusters, the sets of members that buckets connect.
+    named: band, x, n, sketch, c. A cluster g is what buckets connect; main is its
+    component of most members.
     """
     heads = named.groupBy("band").agg(F.min("x").alias("y"))
     star = named.join(heads, "band").select("x", "y").where("x <> y").distinct()
     who = named.groupBy("x").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.first("sketch").alias("sketch"))
     who = stored(who.join(components(star, "clusters").withColumnRenamed("c", "g"), "x", "left").withColumn("g", F.coalesce("g", "x")), "who")
+    main = who.groupBy("g", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("g").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count(F.lit(1)).alias("parts"))
+    return stored(who.join(main.where("parts > 1").drop("parts"), "g"), "apart")
+
+
+def edits(who: DataFrame, texts_of, k: int, percent: int) -> DataFrame:
+    """x, g, c, main, a, e: e are the shingles in which x differs from its cluster's reference.
+
+    The reference R is the least member of the main component. With d(x) edits, sets
+    x and y differ in d(x) + d(y) - 2 * (shared edits) shingles, so they reach the
+    similarity exactly if 2 * (100 + percent) * (shared edits) >= a(x) + a(y), where
+    a = (100 + percent) * d - (100 - percent) * n.
+    """
     key = who.schema["x"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,32 +229,52 @@ def outside(named: DataFrame, texts_of, k: int, percent: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(signed(hashes)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["x", "s"])
 
-    sets = texts_of(who.select("x")).select("x", "text").mapInArrow(run, f"x {key}, s array<long>")
-    tokens = sets.join(who.select("x", "g", "c"), "x").select("x", "g", "c", F.explode("s").alias("s"))
-    tokens = stored(tokens, "tokens")
-    shared = tokens.groupBy("g", "s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("g", "s")
-    counts = tokens.join(shared, ["g", "s"], "left_semi").groupBy("x").agg(F.count(F.lit(1)).alias("k"))
-    return stored(who.join(counts, "x").where(f"100 * k >= {percent} * n").select("x", "n", "sketch", "g", "k"), "bounds")
+    sets = stored(texts_of(who.select("x")).select("x", "text").mapInArrow(run, f"x {key}, s array<long>"), "sets")
+    heads = who.where("c = main").groupBy("g").agg(F.min("x").alias("x"))
+    reference = heads.join(sets, "x").select("g", F.col("s").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    met = who.join(sets, "x").withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")).join(reference, ["g", "salt"]).select("x", "g", "c", "main", "n", "s", "r")
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            e = [np.setxor1d(x.values.to_numpy(), y.values.to_numpy(), assume_unique=True) for x, y in zip(batch.column(5), batch.column(6), strict=True)]
+            d = np.array([len(x) for x in e], np.int64)
+            a = (100 + percent) * d - (100 - percent) * batch.column(4).to_numpy()
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(d)]).astype(np.int32)), pa.array(np.concatenate(e) if e else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(a), lists], names=["x", "g", "c", "main", "a", "e"])
+
+    return stored(met.mapInArrow(differ, f"x {key}, g {key}, c {key}, main {key}, a long, e array<long>"), "edits")
 
 
-def across(who: DataFrame, nodes: DataFrame, percent: int, delegates: bool) -> DataFrame:
-    """x, y: pairs of one cluster in different components that no bound rules out.
+def across(edited: DataFrame, percent: int) -> DataFrame:
+    """x, y: pairs of one cluster in different components, with all whose links join components that weren't.
 
-    One of the two is outside the cluster's largest component; the other is any
-    member, or one of SALTS delegates of the largest component. The members of a
-    cluster are dealt out in SALTS parts, each of which meets those outside.
+    Where a(x) + a(y) <= 0 the two are linked without shared edits, and then each of
+    them also with the member of least a: a star holds these. All others share edits.
+    Sorted with the commonest last, left(x, e) edits of x that several components
+    have stand from e on; at the first that two share, neither has fewer left than
+    they share. So only rare edits meet: of a member of the main component, which
+    meets only those outside, about the rarer half of its edits.
     """
-    now = stored(who.join(nodes, "x", "left").withColumn("c", F.coalesce("c", "x")), "now")
-    main = now.groupBy("g", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("g").agg(F.max_by("c", F.struct("m", "c")).alias("main"))
-    now = now.join(main, "g")
-    far = now.where("c <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    near = now.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int"))
-    if delegates:
-        # The least hashes of each part are found with map-side combination.
-        chosen = near.where("c = main").groupBy("g", "salt").agg(F.min(F.struct(F.xxhash64("x").alias("o"), "x")).alias("d")).select("d.x")
-        near = near.join(chosen, "x", "left_semi")
-    met = far.alias("a").join(near.alias("b"), F.expr(f"a.g = b.g AND a.salt = b.salt AND a.c <> b.c AND {_bounded('a', 'b', percent)} AND {_plausible('a', 'b', percent)}"))
-    return met.select(F.least("a.x", "b.x").alias("x"), F.greatest("a.x", "b.x").alias("y")).distinct()
+    each = edited.drop("e")
+    outer = F.when(F.col("c") != F.col("main"), F.col("a"))
+    low = each.groupBy("g").agg(F.min_by("x", "a").alias("y"), F.min_by("c", "a").alias("yc"), F.min("a").alias("low"), F.min(outer).alias("low_outer"))
+    star = each.join(low, "g").where("c <> yc AND a + low <= 0").select("x", "y")
+    tokens = edited.select("x", "g", "c", "main", "a", F.explode("e").alias("e"))
+    shared = tokens.groupBy("g", "e").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("f")).where("lo < hi").select("g", "e", "f")
+    left = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("f"), F.desc("e")))
+    placed = tokens.join(shared, ["g", "e"]).withColumn("left", left)
+    twice = 2 * (100 + percent)
+    placed = placed.join(low.select("g", "low", "low_outer"), "g").where(f"{twice} * left >= a + CASE WHEN c = main THEN low_outer ELSE low END")
+    placed = stored(placed.select("x", "g", "c", "e", "a", "left", F.expr("c <> main").alias("outside")), "placed")
+    met = placed.where("outside").alias("a").join(placed.alias("b"), F.expr(f"a.g = b.g AND a.e = b.e AND a.c <> b.c AND a.a + b.a > 0 AND {twice} * least(a.left, b.left) >= a.a + b.a"))
+    pairs = met.select(F.col("a.x").alias("x"), F.col("b.x").alias("y")).unionByName(star)
+    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
+def sketched(pairs: DataFrame, who: DataFrame, percent: int) -> DataFrame:
+    """The pairs that sizes and odd sketches leave."""
+    one = pairs.join(who.select("x", F.struct("n", "sketch").alias("p")), "x")
+    return one.join(who.select(F.col("x").alias("y"), F.struct("n", "sketch").alias("q")), "y").where(_plausible("p", "q", percent)).select("x", "y")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -279,17 +306,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     large = found.where("y IS NULL").select("band", "x", "n", "sketch")
     if not large.isEmpty():
         named = stored(large.join(nodes, "x", "left").withColumn("c", F.coalesce("c", "x")), "named")
-        main = named.groupBy("band", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("band").agg(F.max_by("c", F.struct("k", "c")).alias("main"))
-        apart = stored(named.join(main, "band").where("c <> main"), "apart")
-        if not apart.isEmpty():
-            who = outside(named, texts_of, k, percent)
-            # First with a few delegates of each cluster's largest component, then with all.
-            for delegates in (True, False):
-                pairs2 = stored(across(who, nodes, percent, delegates).join(pairs, ["x", "y"], "left_anti"), "more")
-                if not pairs2.isEmpty():
-                    links = stored(links.unionByName(links_of(pairs2)), "links")
-                    nodes = components(links)
-                    pairs = pairs.unionByName(pairs2)
+        who = clusters(named)
+        if not who.isEmpty():
+            pairs = stored(sketched(across(edits(who, texts_of, k, percent), percent), who, percent), "more")
+            if not pairs.isEmpty():
+                nodes = components(stored(links.unionByName(links_of(pairs)), "links"))
     ids = reps.join(nodes, "x", "left").select("f1", "f2", F.coalesce("c", "x").alias("c"))
     out = signs.select("doc_id", "t", "n", "f1", "f2").join(ids, ["f1", "f2"], "left")
     least = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
