@@ -10,7 +10,7 @@ Equal sets share one representative. A bucket of at most SMALL members gives all
 its plausible pairs. In a larger one every member is first compared with the
 bucket's least member. Links that this leaves between components of a cluster, the
 members that large buckets connect, are found exactly: each member is reduced to
-the shingles in which it differs from one reference, members meet by the rare ones
+the shingles in which it differs from one reference, members meet by a part
 of these, and a bound on how many they can share rules out the rest. A group of
 copies so costs about as many comparisons as it has members.
 
@@ -213,7 +213,7 @@ def clusters(named: DataFrame) -> DataFrame:
 
 
 def edits(who: DataFrame, texts_of, k: int, percent: int) -> DataFrame:
-    """x, g, c, main, a, e: e are the shingles in which x differs from its cluster's reference.
+    """x, g, c, main, a, e: e are the shingles in which x differs from its cluster's reference: own ones, then missing ones.
 
     The reference R is the least member of the main component. With d(x) edits, sets
     x and y differ in d(x) + d(y) - 2 * (shared edits) shingles, so they reach the
@@ -236,7 +236,8 @@ def edits(who: DataFrame, texts_of, k: int, percent: int) -> DataFrame:
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            e = [np.setxor1d(x.values.to_numpy(), y.values.to_numpy(), assume_unique=True) for x, y in zip(batch.column(5), batch.column(6), strict=True)]
+            both = [(x.values.to_numpy(), y.values.to_numpy()) for x, y in zip(batch.column(5), batch.column(6), strict=True)]
+            e = [np.concatenate([np.setdiff1d(x, y, assume_unique=True), np.sort(np.setdiff1d(y, x, assume_unique=True))]) for x, y in both]
             d = np.array([len(x) for x in e], np.int64)
             a = (100 + percent) * d - (100 - percent) * batch.column(4).to_numpy()
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(d)]).astype(np.int32)), pa.array(np.concatenate(e) if e else np.zeros(0, np.int64)))
@@ -250,21 +251,25 @@ def across(edited: DataFrame, percent: int) -> DataFrame:
 
     Where a(x) + a(y) <= 0 the two are linked without shared edits, and then each of
     them also with the member of least a: a star holds these. All others share edits.
-    Sorted with the commonest last, left(x, e) edits of x that several components
-    have stand from e on; at the first that two share, neither has fewer left than
-    they share. So only rare edits meet: of a member of the main component, which
-    meets only those outside, about the rarer half of its edits.
+    At the first that two share, in an order that holds for the cluster, neither has
+    fewer edits left than they share; so only a part of each member's edits has to
+    meet: of a member of the main component, which meets only those outside, about
+    the first half. Own shingles, which few have, stand before missing ones.
     """
     each = edited.drop("e")
     outer = F.when(F.col("c") != F.col("main"), F.col("a"))
     low = each.groupBy("g").agg(F.min_by("x", "a").alias("y"), F.min_by("c", "a").alias("yc"), F.min("a").alias("low"), F.min(outer).alias("low_outer"))
     star = each.join(low, "g").where("c <> yc AND a + low <= 0").select("x", "y")
-    tokens = edited.select("x", "g", "c", "main", "a", F.explode("e").alias("e"))
-    shared = tokens.groupBy("g", "e").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("f")).where("lo < hi").select("g", "e", "f")
-    left = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("f"), F.desc("e")))
-    placed = tokens.join(shared, ["g", "e"]).withColumn("left", left)
     twice = 2 * (100 + percent)
-    placed = placed.join(low.select("g", "low", "low_outer"), "g").where(f"{twice} * left >= a + CASE WHEN c = main THEN low_outer ELSE low END")
+    # The edits at which enough are left; the others are only counted.
+    need = F.expr("a + CASE WHEN c = main THEN low_outer ELSE low END")
+    most = F.size("e") - F.greatest(F.lit(1), F.ceil(need / twice)) + 1
+    cut = edited.join(low.select("g", "low", "low_outer"), "g").withColumn("most", F.greatest(F.lit(0), F.least(F.size("e"), most)).cast("int"))
+    cut = cut.select("x", "g", "c", "main", "a", (F.size("e") - F.col("most")).alias("rest"), F.posexplode(F.slice("e", F.lit(1), F.col("most"))).alias("i", "e"))
+    tokens = stored(cut, "cut")
+    shared = tokens.groupBy("g", "e").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("g", "e")
+    left = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("i"))) + F.col("rest")
+    placed = tokens.join(shared, ["g", "e"]).withColumn("left", left)
     placed = stored(placed.select("x", "g", "c", "e", "a", "left", F.expr("c <> main").alias("outside")), "placed")
     met = placed.where("outside").alias("a").join(placed.alias("b"), F.expr(f"a.g = b.g AND a.e = b.e AND a.c <> b.c AND a.a + b.a > 0 AND {twice} * least(a.left, b.left) >= a.a + b.a"))
     pairs = met.select(F.col("a.x").alias("x"), F.col("b.x").alias("y")).unionByName(star)
