@@ -121,6 +121,56 @@ def test_near_dedup(docs, monkeypatch, small):
     assert result(near_dedup.op8(docs)) == want
 
 
+def pair_links(sets, percent):
+    links = []
+    for i in sets:
+        for j in sets:
+            both = len(sets[i] & sets[j])
+            if i < j and both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                links.append((i, j))
+    return links
+
+
+def least_reached(nodes, links):
+    up = {i: i for i in nodes}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, j in links:
+        i, j = top(i), top(j)
+        up[max(i, j)] = min(i, j)
+    return {i: top(i) for i in nodes}
+
+
+def edited_copies(rng, groups):
+    """A text of 100 words; copies with 5 words replaced, near it; and copies with 6, near only those with which they share 3."""
+    base = ["r%d" % i for i in range(100)]
+    out = [" ".join(base)]
+    for g in range(groups):
+        at = rng.sample(range(2, 97, 3), 8)
+        for places in (at[:5], at[:3] + at[5:]):
+            w = list(base)
+            for p in places:
+                w[p] = "g%d" % g if p in at[:3] else "n%d" % len(out)
+            out.append(" ".join(w))
+    return out
+
+
+def two_word_sets(texts):
+    return {i: {tuple(w[j : j + 2]) for j in range(len(w) - 1)} for i, w in enumerate(t.split() for t in texts)}
+
+
+def test_near_dedup_of_a_large_group(spark):
+    texts = edited_copies(random.Random(5), 200)
+    sets = two_word_sets(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = least_reached(sets, pair_links(sets, 80))
+    assert {r.doc_id: r.component_id for r in near_dedup.op8(df).collect()} == want
+
+
 def test_near_dedup_of_nothing(none):
     assert near_dedup.op8(none).count() == 0
     assert near_dedup.stage(none).count() == 0

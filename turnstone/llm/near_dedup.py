@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pieces, stored
@@ -265,11 +265,11 @@ def across(edited: DataFrame, percent: int) -> DataFrame:
     need = F.expr("a + CASE WHEN c = main THEN low_outer ELSE low END")
     most = F.size("e") - F.greatest(F.lit(1), F.ceil(need / twice)) + 1
     cut = edited.join(low.select("g", "low", "low_outer"), "g").withColumn("most", F.greatest(F.lit(0), F.least(F.size("e"), most)).cast("int"))
-    cut = cut.select("x", "g", "c", "main", "a", (F.size("e") - F.col("most")).alias("rest"), F.posexplode(F.slice("e", F.lit(1), F.col("most"))).alias("i", "e"))
+    cut = cut.select("x", "g", "c", "main", "a", F.size("e").alias("d"), F.posexplode(F.slice("e", F.lit(1), F.col("most"))).alias("i", "e"))
     tokens = stored(cut, "cut")
     shared = tokens.groupBy("g", "e").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("g", "e")
-    left = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("i"))) + F.col("rest")
-    placed = tokens.join(shared, ["g", "e"]).withColumn("left", left)
+    # All of x's edits from e on: one that meets nothing here may stand among those cut off a partner's.
+    placed = tokens.join(shared, ["g", "e"]).withColumn("left", F.col("d") - F.col("i"))
     placed = stored(placed.select("x", "g", "c", "e", "a", "left", F.expr("c <> main").alias("outside")), "placed")
     met = placed.where("outside").alias("a").join(placed.alias("b"), F.expr(f"a.g = b.g AND a.e = b.e AND a.c <> b.c AND a.a + b.a > 0 AND {twice} * least(a.left, b.left) >= a.a + b.a"))
     pairs = met.select(F.col("a.x").alias("x"), F.col("b.x").alias("y")).unionByName(star)
