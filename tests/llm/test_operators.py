@@ -199,6 +199,17 @@ def test_language_id(docs, none):
     assert langid.op1(none).count() == 0
 
 
+def test_language_id_rejects_narrow_margins():
+    en, de = b"the cat sat on the mat and the dog lay by the door ", b"die katze lag auf der matte und der hund vor der tuer "
+    clear, tie = en.decode() * 3, "qqzzyyxx vvkkjjww " * 12
+    classify = langid.classifier({"de": de, "en": en, "fr": b"le chat dort sur le tapis et le chien devant la porte "})
+    assert classify(clear)[0] == "en" and not classify(clear)[2]
+    assert classify(tie)[2] and classify(None) == ("und", 0.0, True)
+    twins = langid.classifier({"a": en, "b": en, "c": de})
+    assert twins(clear)[1] > langid.MIN_SCORE and twins(clear)[2]
+    assert not langid.classifier({"en": en})(clear)[2]
+
+
 def test_media(docs, none):
     for i, row in result(media.op2(docs)).items():
         body = (ROWS[i][1] or "").encode()
