@@ -249,6 +249,20 @@ def test_mixing_keeps_all_and_stays_near_targets(docs, none):
     assert mixing.stage(docs).columns == docs.columns
 
 
+def test_pipeline_keeps_the_order_of_the_mix(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+    import duckdb
+
+    rows = [(i, "word %d" % i, "en", ("a", "b", "c")[0 if i % 5 else i % 3], 7) for i in range(400)]
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[-2:])
+    got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "mix_slot", "mix_place").collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT doc_id FROM ({mixing.ORACLE}) ORDER BY slot, place").fetchall()
+    assert [r.doc_id for r in sorted(got, key=lambda r: (r.mix_slot, r.mix_place))] == [x for x, in want] and len(want) == 400
+
+
 def test_pfair_deviation(spark):
     w = spark.createDataFrame([("a", 5), ("b", 3), ("c", 1)], "source string, w int")
     slots = {r.at: r.source for r in mixing.period(w).collect()}

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import pieces
+from .mixing import ORDER
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 CACHE_WORDS = 600_000
@@ -171,12 +172,12 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None, ids: bool = False) -> DataFrame:
+def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None, ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (little-endian unsigned 32-bit).
 
-    Null text is empty: no tokens. Repeated rows give equal results; other columns
-    are not read. path: the ranks file, which every executor must have in place
-    (default: the installed vocabulary of many languages).
+    Null text is empty: no tokens. Repeated rows give equal results; columns
+    named in keep follow unchanged, others are not read. path: the ranks file, which
+    every executor must have in place (default: the installed vocabulary of many languages).
     """
     import public_tokenizers
 
@@ -193,9 +194,10 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
                 names, types = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"], [None, pa.int64(), pa.string(), pa.string(), pa.binary()]
                 columns = [batch.column(0)] + [pa.array([r[i] for r in rows], t) for i, t in enumerate(types[1:])]
                 n = 5 if ids else 4
-                yield pa.RecordBatch.from_arrays(columns[:n], names=names[:n])
+                yield pa.RecordBatch.from_arrays(columns[:n] + batch.columns[2:], names=names[:n] + list(keep))
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids)
+    kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select("doc_id", "text", *keep).mapInArrow(run, f"doc_id {key}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids + kept)
 
 
 def op4(docs: DataFrame) -> DataFrame:
@@ -203,5 +205,5 @@ def op4(docs: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """The last stage: the tokens of each document."""
-    return encoded(docs, ids=True)
+    """The last stage: the tokens of each document, and its place in the mix if the documents have one."""
+    return encoded(docs, ids=True, keep=tuple(c for c in ORDER if c in docs.columns))

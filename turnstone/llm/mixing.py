@@ -24,6 +24,8 @@ PERIOD = 1000
 MAX_SOURCES = 500
 #: Hex digits of md5(doc_id) that make a chunk: 4096 chunks for each source.
 CHUNK_DIGITS = 3
+#: The columns that keep the order of the mix from one stage to the next.
+ORDER = ("mix_slot", "mix_place")
 
 
 def integer_weights(counts: DataFrame, weights: dict[str, float] | None) -> DataFrame:
@@ -101,10 +103,13 @@ def op7(docs: DataFrame) -> DataFrame:
     return mixed(docs.select("doc_id", "source")).select("doc_id", "source", F.col("_block").alias("block"), F.col("_slot").alias("slot"), F.col("_place").alias("place"))
 
 
-def stage(docs: DataFrame) -> DataFrame:
-    """The documents themselves, written in the order of the mix."""
-    out = mixed(docs)
-    return out.repartitionByRange(F.col("_slot"), F.col("_place")).sortWithinPartitions("_slot", "_place").select(*docs.columns)
+def stage(docs: DataFrame, order: bool = False) -> DataFrame:
+    """The documents themselves, written in the order of the mix; if asked for, with slot and place.
+
+    Files that are read again lose the order of rows, so who reads them needs these columns.
+    """
+    out = mixed(docs).withColumnsRenamed({"_slot": ORDER[0], "_place": ORDER[1]})
+    return out.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).select(*docs.columns, *(ORDER if order else ()))
 
 
 ORACLE = f"""
