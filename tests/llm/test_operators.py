@@ -72,6 +72,26 @@ def test_suffix_dedup_of_hot_anchors(docs, monkeypatch):
     assert result(suffix_dedup.op5(docs)) == want
 
 
+def test_anchors_do_not_depend_on_length():
+    import numpy as np
+
+    from turnstone.llm import kernels
+
+    values = np.arange(1, 1 << 20, dtype=np.uint64)
+    keys = kernels.mix(values ^ np.uint64(0x5851F42D4C957F2D))
+    order = np.argsort(keys)
+    tie = np.flatnonzero(keys[order[1:]] >> np.uint64(40) == keys[order[:-1]] >> np.uint64(40))[0]
+    small, large = values[order[tie]], values[order[tie + 1]]  # equal in the upper 24 bits of their keys
+    grams = np.repeat(values[order[-1]], 20)
+    grams[5], grams[9] = small, large
+    anchors = []
+    for n in (20, (1 << 24) + 20):
+        data = np.resize(values[order[-1]], n).astype(np.uint64)
+        data[:20] = grams
+        anchors.append(kernels.anchored_runs(data, np.array([0, n]), 10, 1)[2][0])
+    assert anchors == [9, 9]
+
+
 def test_maximal_repeats_have_all_occurrences():
     got = {(n, tuple(sorted(o))) for n, o in suffix_dedup.maximal_repeats([b"xabcy", b"zabcy", b"qabc"], 2)}
     assert got == {(4, ((0, 1), (1, 1))), (3, ((0, 1), (1, 1), (2, 1)))}

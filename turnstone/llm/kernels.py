@@ -113,7 +113,7 @@ def anchored_runs(grams: np.ndarray, first: np.ndarray, window: int, k: int) ->
     none = np.zeros(0, np.int64)
     if n < w:
         return none, none, none, none
-    bits = 24 if n < 1 << 24 else 40  # fixed, so that ties of cut hashes fall alike everywhere
+    bits = 40  # the same for any length, so that ties of cut hashes fall alike everywhere
     low = U((1 << bits) - 1)
     keys = (mix(grams ^ U(0x5851F42D4C957F2D)) & ~low) | (low - np.arange(n, dtype=U))
     anchor = (low - (sliding_min(keys, w) & low)).astype(np.int64)
