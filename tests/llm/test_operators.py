@@ -308,6 +308,19 @@ def test_top_k(spark):
     assert topk.op3(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_url_filter_equals_its_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    urls = [u for u, _ in url_filter.LABELLED] + ["http://A.example.ORG/es/1?x", "https://org/", "http://com/fr/a#b", "nothing", None, "http://h?q/org/", "http://é.net/ü"]
+    weights, bias = url_filter.train(spark)
+    got = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id int, url string"), weights, bias).collect()
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame({"page_id": range(len(urls)), "url": urls}))
+    want = con.execute(url_filter.oracle(weights, bias)).fetchall()
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
 def test_url_rules(spark):
     urls = ["http://A.example.ORG/es/1?x", "https://org/", "http://example.org/en/17", "x://w.com/de/", "http://com/fr/a#b", None, "nothing", "http://h?q/org/", "http://notorg/"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
