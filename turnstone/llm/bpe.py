@@ -8,17 +8,26 @@ a step joins only the two pairs that the last contraction made, which costs a
 fiftieth of joining all rows again. Ordered aggregation packs a word, and another,
 over the vocabulary, decodes its ids to bytes.
 
-Words are encoded once for each worker and kept in a bounded store (CACHE_WORDS);
-clearing it costs time only. Nothing is shuffled. The vocabulary has a fixed size.
+A step costs a word's length, so a word without a break (base64, unspaced script)
+would cost its square. It is cut into overlapping segments instead, which the same
+query encodes side by side. Token lists whose neighbours all stand side by side in
+the encoding of some text are the encoding of their own text, so where two segments
+share a whole token they are joined at it, exactly (Coder._joined).
+
+Words are encoded once for each partition and kept in a store bounded by bytes
+(STORE_BYTES); clearing it costs time only. The store and its DuckDB go when the
+partition ends. Nothing is shuffled. The vocabulary has a fixed size.
 """
 
 from __future__ import annotations
 
 import base64
+import ctypes
 import gc
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +37,11 @@ from .common import pieces
 from .mixing import ORDER
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CACHE_WORDS = 600_000
-BATCH_BYTES = 4 << 20
+#: Bytes of words, ids and decoded bytes in the store of one partition.
+STORE_BYTES = 24 << 20
+BATCH_BYTES = 2 << 20
+#: Bytes of a segment of a long word, and of its overlap with the next.
+SEGMENT, OVERLAP = 512, 128
 #: Rows (word, position, token) that one recursive query starts from.
 QUERY_ROWS = 1 << 19
 
@@ -57,6 +69,8 @@ WITH RECURSIVE pairs AS (
 SELECT w, ids FROM t WHERE len(ranks) = 0 OR list_min(ranks) >= {NONE}
 """
 
+_CODED = pa.schema([("w", pa.int64()), ("ids", pa.list_(pa.int64()))])
+
 _DECODE = """
 SELECT w, unhex(string_agg(hex(v.bytes), '' ORDER BY p)) AS bytes
 FROM (SELECT w, unnest(ids) AS id, generate_subscripts(ids, 1) AS p FROM coded) JOIN vocabulary AS v USING (id)
@@ -64,7 +78,6 @@ GROUP BY w
 """
 
 
-@lru_cache(2)
 def ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -96,26 +109,85 @@ class Coder:
             self.db.unregister("source_rows")
         self.crossing = regex.compile(r"\s\s|^\s|\s$").search
         self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.held = 0
+        self.size = {v: len(k) for k, v in self.rank.items()}
 
-    def _solve(self, words: list[str]) -> None:
-        """Put ids and decoded bytes of new words into the store."""
-        data = [w.encode() for w in words]
-        ids = np.array([self.rank.get(d, -1) for d in data], np.int64)
-        coded = [pa.table({"w": pa.array(np.flatnonzero(ids >= 0)), "ids": pa.array([[x] for x in ids[ids >= 0].tolist()], pa.list_(pa.int64()))})]
-        todo, at = np.flatnonzero(ids < 0).tolist(), 0
-        while at < len(todo):
+    def close(self) -> None:
+        self.known.clear()
+        self.db.close()
+
+    def _coded(self, parts: list[bytes], names: list[int]) -> list[pa.Table]:
+        """(w, ids) of each part by the recursive query; names: its w."""
+        out, at = [], 0
+        while at < len(parts):
             end, rows = at, 0
-            while end < len(todo) and (end == at or rows + len(data[todo[end]]) <= QUERY_ROWS):
-                rows += len(data[todo[end]])
+            while end < len(parts) and (end == at or rows + len(parts[end]) <= QUERY_ROWS):
+                rows += len(parts[end])
                 end += 1
-            part = [data[i] for i in todo[at:end]]
-            sizes = np.array([len(d) for d in part])
-            flat = np.frombuffer(b"".join(part), np.uint8)
+            sizes = np.array([len(d) for d in parts[at:end]])
+            flat = np.frombuffer(b"".join(parts[at:end]), np.uint8)
             place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            self.db.register("first_rows", pa.table({"w": np.repeat(np.array(todo[at:end]), sizes), "p": place, "id": self.byte[flat]}))
-            coded.append(self.db.sql(_ENCODE).to_arrow_table().cast(coded[0].schema))
+            self.db.register("first_rows", pa.table({"w": np.repeat(np.array(names[at:end]), sizes), "p": place, "id": self.byte[flat]}))
+            out.append(self.db.sql(_ENCODE).to_arrow_table().cast(_CODED))
             self.db.unregister("first_rows")
             at = end
+        return out
+
+    def _lists(self, parts: list[bytes]) -> list[list[int]]:
+        out: list[list[int]] = [[] for _ in parts]
+        for some in self._coded(parts, list(range(len(parts)))):
+            for w, ids in zip(some["w"].to_pylist(), some["ids"].to_pylist(), strict=True):
+                out[w] = ids
+        return out
+
+    def _borders(self, start: int, ids: list[int]) -> list[int]:
+        """Where each token begins, and a last end."""
+        return list(accumulate((self.size[i] for i in ids), initial=start))
+
+    def _joined(self, data: bytes) -> list[int]:
+        """The ids of a long word: those of its segments, joined at tokens that two of them share.
+
+        A merge across the border of two tokens depends on nothing but these two until
+        it happens, so a list is the encoding of its text exactly if each pair of
+        neighbours is that of its own. Segments give pairs of which that holds, and a
+        shared token keeps it at the joint. Where two segments share no token, the next
+        one starts anew at a border of the first; if that is no help, both become one.
+        """
+        step = SEGMENT - OVERLAP
+        starts = list(range(0, max(1, len(data) - OVERLAP), step))
+        found = self._lists([data[a : a + SEGMENT] for a in starts])
+        out, begin = list(found[0]), self._borders(0, found[0])
+        for start, ids in zip(starts[1:], found[1:], strict=True):
+            back = 0
+            while True:
+                first = bisect_left(begin, start)
+                mine = {ab: first + i for i, ab in enumerate(pairwise(begin[first:]))}
+                ends = self._borders(start, ids)
+                shared = next(((mine[ab], j) for j, ab in enumerate(pairwise(ends)) if ab in mine), None)
+                if shared:
+                    del out[shared[0] :], begin[shared[0] :]
+                    out += ids[shared[1] :]
+                    begin += ends[shared[1] :]
+                    break
+                if start == 0:  # the whole text so far
+                    out, begin = ids, ends
+                    break
+                stop = ends[-1]
+                start = begin[bisect_left(begin, start - back)]
+                ids = self._lists([data[start:stop]])[0]
+                back = 2 * back + SEGMENT
+        return out
+
+    def _solve(self, words: list[str]) -> None:
+        """Put ids and decoded bytes of new words into the store."""
+        data = [w.encode() for w in words]
+        ids = np.array([self.rank.get(d, -1) for d in data], np.int64)
+        coded = [pa.table({"w": pa.array(np.flatnonzero(ids >= 0)), "ids": pa.array([[x] for x in ids[ids >= 0].tolist()], pa.list_(pa.int64()))})]
+        todo = np.flatnonzero(ids < 0).tolist()
+        short = [i for i in todo if len(data[i]) <= SEGMENT]
+        coded += self._coded([data[i] for i in short], short)
+        if long := [i for i in todo if len(data[i]) > SEGMENT]:
+            coded.append(pa.table({"w": pa.array(long), "ids": pa.array([self._joined(data[i]) for i in long], pa.list_(pa.int64()))}))
         for some in coded:
             self.db.register("coded", some)
             out = self.db.sql(_DECODE).to_arrow_table()
@@ -126,6 +198,7 @@ class Coder:
             bounds = (4 * np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])).tolist()
             for w, a, b in zip(some["w"].to_pylist(), bounds, bounds[1:], strict=False):
                 self.known[words[w]] = flat[a:b], text[w]
+                self.held += 200 + 2 * (b - a) + 2 * len(text[w])
 
     def _learn(self, units: set[str]) -> None:
         """Words are pieces too, so one store holds both."""
@@ -136,6 +209,7 @@ class Coder:
             if len(words) > 1:
                 found = [get(w) for w in words]
                 self.known[u] = b"".join([a for a, _ in found]), b"".join([b for _, b in found])
+                self.held += 200 + sum(len(a) + 2 * len(b) for a, b in found)
 
     def split(self, text: str) -> list[str]:
         """Pieces between which no match of the pattern lies.
@@ -150,8 +224,9 @@ class Coder:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """Ids as little-endian unsigned 32-bit integers and the bytes they decode to, for each text."""
-        if len(self.known) > CACHE_WORDS:
+        if self.held > STORE_BYTES:
             self.known.clear()
+            self.held = 0
         split = [self.split(x) for x in texts]
         if new := {u for units in split for u in units if u not in self.known}:
             self._learn(new)
@@ -161,9 +236,14 @@ class Coder:
             yield b"".join([a for a, _ in found]), b"".join([b for _, b in found])
 
 
-@lru_cache(1)
-def coder(path: str, pattern: str) -> Coder:
-    return Coder(path, pattern)
+def give_back() -> None:
+    """Collect what is left and hand free memory back: workers live on for other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -185,16 +265,22 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = coder(path, pattern)
+        tool = Coder(path, pattern)
         gc.disable()  # the store holds many small objects without cycles
-        for whole in batches:
-            for batch in pieces(whole, "text", BATCH_BYTES):
-                texts = [x or "" for x in batch.column(1).to_pylist()]
-                rows = [(len(a) // 4, hashlib.sha256(a).hexdigest(), hashlib.sha256(b).hexdigest(), a if ids else None) for a, b in tool.encode(texts)]
-                names, types = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"], [None, pa.int64(), pa.string(), pa.string(), pa.binary()]
-                columns = [batch.column(0)] + [pa.array([r[i] for r in rows], t) for i, t in enumerate(types[1:])]
-                n = 5 if ids else 4
-                yield pa.RecordBatch.from_arrays(columns[:n] + batch.columns[2:], names=names[:n] + list(keep))
+        try:
+            for whole in batches:
+                for batch in pieces(whole, "text", BATCH_BYTES):
+                    texts = [x or "" for x in batch.column(1).to_pylist()]
+                    rows = [(len(a) // 4, hashlib.sha256(a).hexdigest(), hashlib.sha256(b).hexdigest(), a if ids else None) for a, b in tool.encode(texts)]
+                    names, types = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"], [None, pa.int64(), pa.string(), pa.string(), pa.binary()]
+                    columns = [batch.column(0)] + [pa.array([r[i] for r in rows], t) for i, t in enumerate(types[1:])]
+                    n = 5 if ids else 4
+                    yield pa.RecordBatch.from_arrays(columns[:n] + batch.columns[2:], names=names[:n] + list(keep))
+        finally:
+            gc.enable()
+            tool.close()
+            del tool
+            give_back()
 
     kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select("doc_id", "text", *keep).mapInArrow(run, f"doc_id {key}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids + kept)
