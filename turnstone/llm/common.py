@@ -10,18 +10,42 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no spark.checkpoint.dir, as in tests.
+#: Used only on a local master whose session names no spark.checkpoint.dir, as in tests.
 FALLBACK_DIR = "/tmp/checkpoints"
 
 
+def column(name: str) -> Column:
+    """A column by its exact name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fields(df: DataFrame, names: list[str]) -> str:
+    """Some columns of df as DDL."""
+    return ", ".join("`" + n.replace("`", "``") + "` " + df.schema[n].dataType.simpleString() for n in names)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, or name and a number, such that df has no such column in any case."""
+    taken, out, i = {c.lower() for c in df.columns}, name, 0
+    while out.lower() in taken:
+        i += 1
+        out = f"{name}{i}"
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir."""
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Off a local master it must be set: a folder of one machine would not be shared.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", FALLBACK_DIR)
         named = FALLBACK_DIR
     return named.rstrip("/")
