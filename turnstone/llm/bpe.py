@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import pieces
-from .mixing import ORDER
+from .mixing import ORDER, placed
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of words, ids and decoded bytes in the store of one partition.
@@ -291,5 +291,10 @@ def op4(docs: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """The last stage: the tokens of each document, and its place in the mix if the documents have one."""
-    return encoded(docs, ids=True, keep=tuple(c for c in ORDER if c in docs.columns))
+    """The last stage: the tokens of each document, and its place in the mix.
+
+    Null and empty texts have no tokens; repeated rows are encoded each, with places of
+    their own; extra columns go.
+    """
+    keep = [c for c in ("doc_id", "text", "source", "n_chars") if c in docs.columns]
+    return encoded(placed(docs.select(*keep)), ids=True, keep=ORDER)
