@@ -1,17 +1,20 @@
 """URL filters: rules first, then logistic regression on hashed character n-grams.
 
-The labelled URL table is small and bounded (MAX_LABELLED rows), so the model is
-fitted on the driver from features that DataFrame functions make; weights become
-integers (millionths), which makes scores exact sums on any engine. Judging is one
-narrow projection: no shuffle, no Python on the executors.
+The model is fitted on the driver from a small labelled URL table: a DataFrame of url
+and label, bounded to MAX_LABELLED rows, or by default one made by a rule from words
+that decide and parts that don't (labelled_urls). Weights become whole millionths,
+which makes scores exact sums on any engine. Judging is one narrow projection: no
+shuffle, no Python on the executors.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: (verdict, rule); a rule is a host and the beginning of a path.
@@ -23,41 +26,43 @@ RULES = (
     ("block", "com/de/"),
 )
 
-#: The labelled table: 1 is block.
-LABELLED = (
-    ("https://news.example.net/en/2021/story-about-rivers.html", 0),
-    ("https://www.library.example.edu/catalogue/item/482", 0),
-    ("http://docs.project.example.io/guide/install.html", 0),
-    ("https://blog.writer.example.net/fr/1204.html", 0),
-    ("https://en.wiki.example.org/wiki/History_of_tea", 0),
-    ("https://m.paper.example.com/en/30121?page=2", 0),
-    ("https://www.museum.example.net/de/ausstellung/77.html", 0),
-    ("http://forum.gardeners.example.com/en/thread/5517", 0),
-    ("https://recipes.kitchen.example.net/es/9921/", 0),
-    ("https://www.university.example.edu/physics/lecture-notes", 0),
-    ("https://science.journal.example.net/en/article/88213", 0),
-    ("http://www.town.example.org/council/minutes/2019", 0),
-    ("https://weather.example.net/fr/21812.html", 0),
-    ("https://www.hospital.example.org/patients/visiting", 0),
-    ("https://code.example.io/project/readme", 0),
-    ("https://archive.example.net/de/6381", 0),
-    ("http://cheap-pills.example.biz/buy-now/viagra-discount", 1),
-    ("http://casino-bonus.example.biz/free-spins?ref=aff77", 1),
-    ("https://xxx-cams.example.info/live/girls/18", 1),
-    ("http://win-prize.example.info/claim-now/index.php", 1),
-    ("http://free-movies.example.biz/torrent/download-crack", 1),
-    ("http://adult-dating.example.info/hot/singles", 1),
-    ("http://login-verify.example.biz/secure/account-update.php", 1),
-    ("http://poker-online.example.biz/bonus/free-money", 1),
-    ("https://porn-tube.example.info/videos/xxx/1", 1),
-    ("http://track.ads.example.biz/click?aff=9981", 1),
-    ("http://keygen-crack.example.info/serial/download", 1),
-    ("http://replica-watches.example.biz/cheap/buy-now", 1),
-    ("http://payday-loans.example.info/fast-cash/apply-now", 1),
-    ("http://slots.casino.example.biz/jackpot/win", 1),
-    ("http://sexy-girls.example.biz/webcam/live", 1),
-    ("http://bitcoin-double.example.info/get-rich/invest-now", 1),
+# Words that make a site or a page one to keep (0) or to block (1).
+_WORDS = (
+    "news library docs science weather museum forum recipes university hospital garden history travel music wiki sport council archive school journal",
+    "casino viagra cheap-pills xxx-cams poker-bonus free-money spam-farm porn-tube adult-dating payday-loans crack-keygen replica-watches click-fraud "
+    "win-prize torrent-free hot-singles pills-discount slots-jackpot get-rich link-farm",
 )
+_PAGES = (
+    "article about lecture guide report visit minutes exhibition lesson thread story review catalogue map concert",
+    "buy-now claim-prize jackpot free-spins adult nude serial-crack cheap-deal apply-now-cash bonus-code spam click-here unlock-win pharmacy hot-girls",
+)
+# Common syllables of names that mean nothing; such hosts are kept.
+_SYLLABLES = "an ar ble ed en er es hea in ing is ly nd on or ou re sha st th the ti tion wh".split()
+# Parts that say nothing: both classes get all of them.
+_FRONTS, _ENDS, _LANGS = ("", "www.", "m.", "blog."), ("example.com", "example.net", "example.org", "example.biz"), ("en", "fr", "de", "es")
+
+
+def labelled_urls() -> list[tuple[str, int]]:
+    """(url, 1 to block or 0): each word with two fronts, domains and languages that say nothing, on plain pages and on telling ones; and hosts of mere syllables."""
+    out = []
+    for label in (0, 1):
+        words, pages = _WORDS[label].split(), _PAGES[label].split()
+        for i, word in enumerate(words):
+            for j in range(2):
+                n = 7 * i + 3 * j
+                site = f"{_FRONTS[(i + j) % 4]}{word}.{_ENDS[(i + 2 * j) % 4]}"
+                out.append((f"https://{site}/{_LANGS[(n + j) % 4]}/{n * 37 % 1000}", label))
+                out.append((f"http://{site}/{_LANGS[n % 4]}/{pages[n % len(pages)]}-{n * 53 % 1000}.html", label))
+        for i, page in enumerate(pages):  # a host that says nothing
+            out.append((f"https://{_FRONTS[i % 4]}{_nonsense(3 * i)}.{_ENDS[i % 4]}/{_LANGS[i % 4]}/{page}/{i * 29 % 500}", label))
+    out += [(f"https://{_FRONTS[i % 4]}{_nonsense(i)}.{_ENDS[i // 4 % 4]}/{_LANGS[i // 16 % 4]}/{i * 37 % 1000}", 0) for i in range(100)]
+    return out
+
+
+def _nonsense(i: int) -> str:
+    return "".join(_SYLLABLES[(i * k + k) % len(_SYLLABLES)] for k in (1, 5, 7)[: 2 + i % 2])
+
+
 MAX_LABELLED = 10_000
 BUCKETS = 4096
 SIZES = (3, 4)
@@ -100,37 +105,51 @@ def buckets(host: Column, path: Column) -> Column:
     return F.transform(F.concat(*parts), lambda g: F.conv(F.substring(F.md5(g.cast("binary")), 1, 3), 16, 10).cast("int"))
 
 
-def train(spark: SparkSession, labelled=LABELLED, rounds: int = 200, rate: float = 0.5, l2: float = 1e-3) -> tuple[list[int], int]:
+def _host_and_path(url: str) -> tuple[str, str]:
+    """host_and_path() on the driver."""
+    at = url.find("://")
+    rest = url[at + 3 :] if at >= 0 else ""
+    end = min([i for i in map(rest.find, "/?#") if i >= 0], default=len(rest))
+    stop = min([i for i in (rest.find(c, end) for c in "?#") if i >= 0], default=len(rest))
+    return rest[:end].translate(str.maketrans(_UPPER, _LOWER)), rest[end:stop]
+
+
+def _buckets(host: str, path: str) -> list[int]:
+    """buckets() on the driver."""
+    grams = []
+    for mark, text in (("h", host), ("p", path)):
+        text = f"^{text}$"
+        grams += [mark + text[i : i + n] for n in SIZES for i in range(len(text) - n + 1)]
+    return [int(hashlib.md5(g.encode()).hexdigest()[:3], 16) for g in grams]
+
+
+def train(labelled: DataFrame | None = None, rounds: int = 300, rate: float = 4.0, l2: float = 1e-4) -> tuple[list[int], int]:
     """Weights of the buckets and the bias, in millionths; batch gradient descent from zero.
 
-    labelled: (url, 0 or 1) pairs, at most MAX_LABELLED, which bounds what comes to the driver.
+    labelled: url and label (1 to block, 0 to keep); rows with nulls take no part, and
+    more than MAX_LABELLED are an error, which bounds what comes to the driver. Repeated
+    and contradictory rows count each. No rows: zeros.
     """
-    labelled = [x for x in labelled if x[0] is not None and x[1] is not None]
-    if len(labelled) > MAX_LABELLED:
-        raise ValueError(f"the labelled URL table is bounded to {MAX_LABELLED} rows")
-    if not labelled:
-        return [0] * BUCKETS, 0
-    rows = json.dumps([{"i": i, "url": u, "y": int(y)} for i, (u, y) in enumerate(labelled)])
-    df = spark.range(1).select(F.inline(F.from_json(F.lit(rows), "array<struct<i int, url string, y int>>")))
-    host, path = host_and_path(F.col("url"))
-    rows = df.select("i", "y", buckets(host, path).alias("b")).orderBy("i").take(MAX_LABELLED)
-    xs = [(r.b, r.y, 1 / math.sqrt(max(1, len(r.b)))) for r in rows]
-    w, bias = [0.0] * BUCKETS, 0.0
-    for _ in range(rounds):
-        grad, shift = {}, 0.0
-        for b, y, scale in xs:
-            e = 1 / (1 + math.exp(-(bias + scale * sum(w[j] for j in b)))) - y
-            shift += e
-            for j in b:
-                grad[j] = grad.get(j, 0.0) + e * scale
-        for j, g in grad.items():
-            w[j] -= rate * (g / len(xs) + l2 * w[j])
-        bias -= rate * shift / len(xs)
-    return [round(UNIT * x) for x in w], round(UNIT * bias)
+    if labelled is None:
+        pairs = labelled_urls()
+    else:
+        pairs = [(r.url, r.label) for r in labelled.where("url IS NOT NULL AND label IN (0, 1)").select("url", "label").orderBy("url", "label").take(MAX_LABELLED + 1)]
+        if len(pairs) > MAX_LABELLED:
+            raise ValueError(f"the labelled URL table is bounded to {MAX_LABELLED} rows")
+    x, y = np.zeros((len(pairs), BUCKETS)), np.array([float(label) for _, label in pairs])
+    for i, (url, _) in enumerate(pairs):
+        found = _buckets(*_host_and_path(url))
+        np.add.at(x[i], found, 1 / math.sqrt(max(1, len(found))))
+    w, bias = np.zeros(BUCKETS), 0.0
+    for _ in range(rounds if len(pairs) else 0):
+        e = 1 / (1 + np.exp(-(bias + x @ w))) - y
+        w -= rate * (e @ x / len(pairs) + l2 * w)
+        bias -= rate * e.mean()
+    return [round(UNIT * v) for v in w.tolist()], round(UNIT * float(bias))
 
 
 def judge(pages: DataFrame, weights: list[int], bias: int, rules=RULES, url: str = "url", key: str = "page_id") -> DataFrame:
-    """One row per page: key, host, path, rule, verdict, score (block if the mean logit is positive).
+    """One row per page: key, host, path, rule, verdict.
 
     A rule decides where one fits; else the model: logit = bias + sum of the
     weights over sqrt(number of n-grams), block where it is over 0. A null URL or
@@ -149,6 +168,11 @@ def judge(pages: DataFrame, weights: list[int], bias: int, rules=RULES, url: str
     )
 
 
+def op10(pages: DataFrame) -> DataFrame:
+    """judge() with the default rules and labelled table."""
+    return judge(pages.select("page_id", "url"), *train())
+
+
 def oracle(weights: list[int], bias: int) -> str:
     """DuckDB SQL for op10: the same rules and weights, n-grams by unnesting."""
     rules = ", ".join(f"('{v}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{r}')" for v, r in RULES)
