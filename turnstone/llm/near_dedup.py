@@ -20,6 +20,7 @@ links in rounds; nothing but counts comes to the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, stored
+from .common import column, pieces, stored, unused
 from .kernels import LOWER, Spans, U, mix, signed, text_bytes, words
 from .suffix_dedup import keyed
 
@@ -35,8 +36,8 @@ BANDS, ROWS = 30, 4
 SKETCH_WORDS = 4  # of 64 bits
 SMALL = 32
 SALTS = 16
-#: Of 256 bits; at similarity 0.8 about 42 differ, and 80 are over five deviations off.
-MOST_BITS = 80
+#: So far, over five deviations at 0.8, an estimate may lie under the similarity asked for.
+MARGIN = 0.33
 _SEED = mix(np.arange(1, BANDS * ROWS + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 
 
@@ -94,10 +95,27 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {key}, t int, n long, f1 long, f2 long, bands array<long>, sketch array<long>")
 
 
+def estimate(differing: int) -> float:
+    """The similarity of two sets whose odd sketches differ in so many bits.
+
+    A sketch of B bits holds the parities of S samples. Sets of similarity J differ in
+    about 2S(1 - J) of these, which leave B/2 * (1 - exp(-4S(1 - J) / B)) bits odd, so
+    J = 1 + B / 4S * ln(1 - 2 * differing / B). The nearer to 1, the more exact it is.
+    """
+    bits = 64 * SKETCH_WORDS
+    share = 1 - 2 * differing / bits
+    return max(0.0, 1 + bits / (4 * BANDS * ROWS) * math.log(share)) if share > 0 else 0.0
+
+
+def most_bits(percent: int) -> int:
+    """As many bits may differ as leave an estimate within MARGIN of the similarity."""
+    return max(n for n in range(64 * SKETCH_WORDS) if n == 0 or estimate(n) >= percent / 100 - MARGIN)
+
+
 def _plausible(a: str, b: str, percent: int) -> str:
-    """SQL: sizes and sketches allow the similarity. Two sketches of equal sets never get here."""
+    """SQL: sizes and estimated similarity allow the link. Two sketches of equal sets never get here."""
     bits = " + ".join(f"bit_count({a}.sketch[{i}] ^ {b}.sketch[{i}])" for i in range(SKETCH_WORDS))
-    return f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) AND {bits} <= {MOST_BITS}"
+    return f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) AND {bits} <= {most_bits(percent)}"
 
 
 def bucket_pairs(members: DataFrame, percent: int) -> DataFrame:
@@ -110,12 +128,12 @@ def bucket_pairs(members: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # members of the present bucket
-        large = False
+        large, most = False, most_bits(percent)
 
         def plausible(p, q):
             if 100 * min(p[2], q[2]) < percent * max(p[2], q[2]):
                 return False
-            return sum((i ^ j).bit_count() for i, j in zip(p[3], q[3], strict=True)) <= MOST_BITS
+            return sum((i ^ j).bit_count() for i, j in zip(p[3], q[3], strict=True)) <= most
 
         schema = None
         for batch in batches:
@@ -327,8 +345,14 @@ def op8(docs: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """One document of each group: the one of least doc_id; of repeated rows, one."""
-    kept = near_duplicates(docs.select("doc_id", "text")).where("kept").select("doc_id", F.col("t").alias("_t")).distinct()
-    left = docs.withColumn("_t", F.hash("text"))
-    out = left.alias("l").join(kept.alias("r"), F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l._t") == F.col("r._t")), "left_semi")
-    return out.dropDuplicates(["doc_id", "_t"]).select(*docs.columns)
+    """One document of each group: the one of least doc_id; of repeated rows, one.
+
+    Null and empty texts are like nothing and stay; so do rows with null doc_id, one of
+    each text. Extra columns of any name stay; an empty table stays empty.
+    """
+    mark = unused(docs, "text_hash")
+    kept = near_duplicates(docs.select("doc_id", "text")).where("kept").select("doc_id", F.col("t").alias(mark)).distinct()
+    left = docs.withColumn(mark, F.hash("text"))
+    same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col(f"l.{mark}") == F.col(f"r.{mark}"))
+    out = left.alias("l").join(kept.alias("r"), same, "left_semi")
+    return out.dropDuplicates(["doc_id", mark]).select(*[column(c) for c in docs.columns])
