@@ -106,18 +106,19 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     key = docs.schema["doc_id"].dataType.simpleString()
     row_schema = "h long, rh long, a int, b int"
     every = runs(docs, window, gram)
-    shared = every.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("rh").alias("lo"), F.max("rh").alias("hi")).where("first < last")
-    hits = stored(every.join(shared.select("h", "first", (F.col("lo") == F.col("hi")).alias("same")), "h"), "hits")
+    # Both sides of the joins below are shuffled as they are, so that Spark can split a hot anchor's partition.
+    shared = stored(every.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("rh").alias("lo"), F.max("rh").alias("hi")).where("first < last").select("h", "first", (F.col("lo") == F.col("hi")).alias("same")), "shared")
+    hits = stored(every.join(shared, "h"), "hits")
     span = ["doc_id", "t", F.col("s").alias("a"), (F.col("s") + F.col("n") + (window - 1)).alias("b")]
     settled = hits.where("same and doc_id > first").select(*span)
     open_ = hits.where("not same").select("h", "rh", "doc_id", "t", "s", "n")
-    classes = open_.groupBy("h", "rh").agg(F.min(F.struct("doc_id", "t", "s", "n")).alias("x"))
-    sizes = classes.groupBy("h").agg(F.count(F.lit(1)).alias("m"))
-    classes = stored(classes.join(sizes, "h").select("h", "rh", (F.col("m") > MAX_RUNS).alias("hot"), "x.*"), "classes")
+    classes = stored(open_.groupBy("h", "rh").agg(F.min(F.struct("doc_id", "t", "s", "n")).alias("x")).select("h", "rh", "x.*"), "classes")
+    large = stored(classes.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > MAX_RUNS).select("h", F.lit(True).alias("hot")), "large")
     owners = classes.select("h", "rh", F.col("doc_id").alias("owner"))
     owned = stored(open_.join(owners, ["h", "rh"]), "owned")
     settled = settled.unionByName(owned.where("doc_id > owner").select(*span))
 
+    classes = classes.join(large, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     wanted = classes.groupBy("doc_id", "t").agg(F.collect_list(F.struct("h", "rh", "hot", "s", "n")).alias("runs"))
     read = docs.alias("r").join(wanted.alias("l"), ["doc_id", "t"]).select("doc_id", "t", "r.text", "l.runs")
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, stored
+from .common import column, fields, pieces, stored
 from .kernels import Spans, anchored_runs, signed, text_bytes
 
 WINDOW = 400
@@ -208,12 +208,13 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     key = docs.schema["doc_id"].dataType.simpleString()
     row_schema = f"doc_id {key}, t int, a long, b long"
     every = runs(docs, window, gram)
-    shared = every.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("rh").alias("lo"), F.max("rh").alias("hi")).where("c > 1")
-    hits = stored(every.join(shared.select("h", (F.col("lo") == F.col("hi")).alias("same")), "h"), "hits")
+    # Both sides of the joins below are shuffled as they are, so that Spark can split a hot anchor's partition.
+    shared = stored(every.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("rh").alias("lo"), F.max("rh").alias("hi")).where("c > 1").select("h", (F.col("lo") == F.col("hi")).alias("same")), "shared")
+    hits = stored(every.join(shared, "h"), "hits")
     open_ = hits.where(~F.col("same")).drop("same")
-    classes = open_.groupBy("h", "rh").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "t", "s", "n")).alias("x"))
-    sizes = classes.groupBy("h").agg(F.count(F.lit(1)).alias("m"))
-    classes = stored(classes.join(sizes, "h").select("h", "rh", "c", (F.col("m") > MAX_RUNS).alias("hot"), "x.*"), "classes")
+    classes = stored(open_.groupBy("h", "rh").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "t", "s", "n")).alias("x")).select("h", "rh", "c", "x.*"), "classes")
+    large = stored(classes.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > MAX_RUNS).select("h", F.lit(True).alias("hot")), "large")
+    classes = classes.join(large, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     span = ["doc_id", "t", F.col("s").alias("a"), (F.col("s") + F.col("n") + (window - 1)).alias("b")]
     settled = hits.where("same").select(*span).unionByName(open_.join(classes.where("c > 1").select("h", "rh"), ["h", "rh"], "left_semi").select(*span))
 
@@ -285,11 +286,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, tex
     spans = repeats(own, window, gram)
     spans = spans.groupBy("doc_id", "t").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     keep = keep or ["doc_id"]
-    left = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col("doc_id").alias("doc_id"), F.hash("text").alias("t"), F.col("text").alias("__text")).alias("l")
+    left = docs.select(*[column(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col("doc_id").alias("doc_id"), F.hash("text").alias("t"), F.col("text").alias("__text")).alias("l")
     joined = left.join(spans.alias("r"), F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.t") == F.col("r.t")), "left")
     joined = joined.select(*[f"l.k{i}" for i in range(len(keep))], "l.__text", "r.spans")
-    fields = [docs.schema[c] for c in keep]
-    kept_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    kept_schema = fields(docs, keep)
     place = keep.index("text") if text else -1
     length = keep.index("n_chars") if text and "n_chars" in keep else -1
 
@@ -333,8 +333,14 @@ def whole_characters(data: bytes, a: int, b: int) -> tuple[int, int]:
 
 
 def op5(docs: DataFrame) -> DataFrame:
+    """without_repeats() of the documents: nulls, ties and repeated rows as there."""
     return without_repeats(docs.select("doc_id", "text"))
 
 
 def stage(docs: DataFrame) -> DataFrame:
+    """The documents without the characters that repeated windows cover, n_chars counted anew.
+
+    All rows stay, those that lose all their text with an empty one; null stays null.
+    Repeated rows lose their repeats both. Extra columns of any name stay.
+    """
     return without_repeats(docs, text=True, keep=docs.columns)
