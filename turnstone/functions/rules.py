@@ -93,6 +93,19 @@ LINE_REJECTS = (
     r"^\s*\x22,",
 )
 
+#: Rejects that need a word, and that word in lower case; all others need one of MARKS.
+WORDY_REJECTS = {
+    r"automated background-task event": "background-task",
+    r"Dynamic workflow .* completed": "dynamic workflow ",
+    r"session-scoped Stop hook": "stop hook",
+    r"Stop hook is now active": "stop hook",
+    r"Relative paths in this skill resolve": "relative paths in",
+    r"\bThe Iron Law\b": "the iron law",
+    r"Always use first for indexed source-code repos": "always use first",
+    r"\bINSERT\s+INTO\b": "insert",
+}
+MARKS = r"[<\[|:#=;{*\"_/(`]|[?!]{4}|\d[zZ]"
+
 # Label and pattern of secrets, in order of replacement.
 SECRETS = (
     ("anthropic_key", r"sk-ant-[A-Za-z0-9_-]{16,}"),

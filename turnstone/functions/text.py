@@ -6,6 +6,8 @@ and lower-casing is of A-Z only, so that offsets don't move.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,18 +44,38 @@ def tokens(text: Column) -> Column:
 # ---- markers ----
 
 
-def marker_struct(text: Column, rule: tuple[str, str, str, str]) -> Column:
-    """First match of one rule: rule_id, category, tier, matched_text, offset in UTF-8 bytes; empty text where none."""
-    name, category, tier, pattern = rule
-    rx = "(?idU)" + pattern
-    matched = F.regexp_extract(text, rx, 0)
-    before = F.when(matched != "", F.octet_length(F.get(F.split(text, rx, 2), F.lit(0)))).cast("bigint")
-    return F.struct(F.lit(name).alias("rule_id"), F.lit(category).alias("category"), F.lit(tier).alias("tier"), matched.alias("matched_text"), before.alias("offset"))
+def matches(text: Column, table=R.RULES) -> Column:
+    """What each rule first matches, in order of the rules; empty where nothing."""
+    return F.array(*[F.regexp_extract(text, "(?idU)" + pattern, 0) for *_, pattern in table])
+
+
+def before_matches(text: Column, found: Column, table=R.RULES) -> Column:
+    """The text before each first match; null where found, from matches(), is empty."""
+    return F.array(*[F.when(F.get(found, F.lit(i)) != "", F.get(F.split(text, "(?idU)" + pattern, 2), F.lit(0))) for i, (*_, pattern) in enumerate(table)])
+
+
+def markers_of(found: Column, before: Column, table=R.RULES) -> Column:
+    """Markers in order of the rules: rule_id, category, tier, matched_text, offset in UTF-8 bytes, and place in characters."""
+    rules = F.array(*[F.struct(F.lit(a).alias("rule_id"), F.lit(b).alias("category"), F.lit(c).alias("tier")) for a, b, c, _ in table])
+    every = F.transform(
+        F.arrays_zip(rules.alias("r"), found.alias("m"), before.alias("b")),
+        lambda x: F.struct(x["r"]["rule_id"].alias("rule_id"), x["r"]["category"].alias("category"), x["r"]["tier"].alias("tier"), x["m"].alias("matched_text"), F.octet_length(x["b"]).cast("bigint").alias("offset"), F.length(x["b"]).alias("place")),
+    )
+    return F.filter(every, lambda m: m["matched_text"] != "")
 
 
 def markers(text: Column, table=R.RULES) -> Column:
-    """Markers of a text in order of the rules."""
-    return F.filter(F.array(*[marker_struct(text, r) for r in table]), lambda m: m["matched_text"] != "")
+    """Markers of a text in order of the rules. table: (id, category, tier, pattern) rules, such as those of gate()."""
+    return once(text, lambda t: once(matches(t, table), lambda found: markers_of(found, before_matches(t, found, table), table)))
+
+
+def gate(rules) -> tuple[tuple[str, str, str, str], ...]:
+    """A rule table from (id, category, pattern) triples, which are strong, or (id, category, tier, pattern) quads."""
+    out = tuple((r[0], r[1], "strong", r[2]) if len(r) == 3 else tuple(r) for r in rules)
+    for name, category, tier, _ in out:
+        if category not in R.CATEGORY_BONUS or tier not in ("strong", "soft"):
+            raise ValueError(f"rule {name}: unknown category {category} or tier {tier}")
+    return out
 
 
 def admits(text: Column, table=R.RULES) -> Column:
@@ -137,9 +159,14 @@ def is_punctuation_dominated(line: Column) -> Column:
 
 
 def is_junk_line(line: Column, extra: tuple[str, ...] = ()) -> Column:
-    # line is trimmed
-    every = "|".join(f"(?:{p})" for p in (*R.LINE_REJECTS, *extra))
-    return is_bare_token(line) | is_punctuation_dominated(line) | line.rlike("(?idU)" + every)
+    """line is trimmed. Patterns run only where a line has a character, or a word, that one of them needs."""
+    alternatives = lambda some: "(?idU)" + "|".join(f"(?:{p})" for p in some)
+    wordy = tuple(p for p in R.LINE_REJECTS if p in R.WORDY_REJECTS)
+    marked = tuple(p for p in R.LINE_REJECTS if p not in R.WORDY_REJECTS)
+    out = is_bare_token(line) | is_punctuation_dominated(line)
+    out = out | (line.rlike(R.MARKS) & line.rlike(alternatives(marked)))
+    out = out | once(ascii_lower(line), lambda low: reduce(lambda a, b: a | b, [low.contains(w) for w in R.WORDY_REJECTS.values()]) & line.rlike(alternatives(wordy)))
+    return out | line.rlike(alternatives(extra)) if extra else out
 
 
 def clean_prose(text: Column, extra: tuple[str, ...] = ()) -> Column:
@@ -149,24 +176,33 @@ def clean_prose(text: Column, extra: tuple[str, ...] = ()) -> Column:
 
 
 def languageness(text: Column) -> Column:
-    """How much a text looks like language, 0 to 1, in double precision."""
-    s = trim(text)
-    total = F.length(s).cast("double")
-    letters = _count(s, _LETTERS).cast("double")
-    vowels = _count(s, "aeiouyAEIOUY").cast("double")
-    symbols = F.length(F.regexp_replace(s, r"(?U)[A-Za-z0-9\s]", "")).cast("double")
-    words = tokens(s)
-    count = F.greatest(F.size(words), F.lit(1)).cast("double")
-    like = F.size(F.filter(words, lambda t: (F.length(t) <= 3) | ((F.length(t) <= 32) & (_count(t, "aeiouyAEIOUY") > 0)))).cast("double")
-    longest = F.coalesce(F.array_max(F.transform(words, F.length)), F.lit(0))
-    alpha, vowel, symbol = letters / total, F.when(letters > 0, vowels / letters).otherwise(0.0), symbols / total
-    score = F.lit(1.0) - F.greatest(F.lit(0.0), F.lit(0.55) - alpha) * 1.2 - F.greatest(F.lit(0.0), F.lit(0.30) - vowel) * 1.5
-    score = score - (1.0 - like / count) * 0.6 - F.greatest(F.lit(0.0), symbol - 0.30) * 1.2 - F.when(longest >= 40, 0.4).otherwise(0.0)
-    return F.when(s == "", 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)))
+    """How much a text looks like language, 0 to 1, in single precision."""
+    f = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("float")
+
+    def of(s: Column) -> Column:
+        letters, vowels = _count(s, _LETTERS), _count(s, "aeiouyAEIOUY")
+        symbols = F.length(F.regexp_replace(s, r"(?U)[A-Za-z0-9\s]", ""))
+
+        def with_words(words: Column) -> Column:
+            total, count = f(F.length(s)), f(F.greatest(F.size(words), F.lit(1)))
+            like = f(F.size(F.filter(words, lambda t: (F.length(t) <= 3) | ((F.length(t) <= 32) & (_count(t, "aeiouyAEIOUY") > 0)))))
+            longest = F.coalesce(F.array_max(F.transform(words, F.length)), F.lit(0))
+            alpha, symbol = f(letters) / total, f(symbols) / total
+            vowel = F.when(letters > 0, f(f(vowels) / f(letters))).otherwise(f(0.0))
+            score = f(f(1.0) - F.when(f(alpha) < f(0.55), f(f(f(0.55) - f(alpha)) * f(1.2))).otherwise(f(0.0)))
+            score = f(score - F.when(vowel < f(0.30), f(f(f(0.30) - vowel) * f(1.5))).otherwise(f(0.0)))
+            score = f(score - f(f(f(1.0) - f(like / count)) * f(0.6)))
+            score = f(score - F.when(f(symbol) > f(0.30), f(f(f(symbol) - f(0.30)) * f(1.2))).otherwise(f(0.0)))
+            score = f(score - F.when(longest >= 40, f(0.4)).otherwise(f(0.0)))
+            return F.when(s == "", f(0.0)).otherwise(F.least(f(1.0), F.greatest(f(0.0), score)))
+
+        return once(tokens(s), with_words)
+
+    return once(trim(text), of)
 
 
 def is_garbage(text: Column) -> Column:
-    return languageness(text) < 0.35
+    return languageness(text) < F.lit(0.35).cast("float")
 
 
 def is_shouting(text: Column) -> Column:
@@ -226,10 +262,18 @@ def redact(text: Column, table=R.SECRETS, content: bool = True) -> Column:
 # ---- numbers and names ----
 
 
+RFC3339 = r"^\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d:\d\d(?:\.\d+)?(?:[Zz]|[+-]\d\d:\d\d)$"
+
+
 def parse_ts(text: Column) -> Column:
-    """RFC 3339, else whole seconds since 1970, or milliseconds beyond 10^10 in size; else null."""
-    n = text.try_cast("bigint")
-    return F.coalesce(F.try_to_timestamp(text), F.when(F.abs(n) > 10_000_000_000, F.timestamp_millis(n)).otherwise(F.timestamp_seconds(n)))
+    """RFC 3339, else whole seconds since 1970, or milliseconds beyond 10^10 in size; null for anything else or out of range."""
+
+    def of(t: Column) -> Column:
+        n = F.when(t.rlike(r"^[+-]?\d{1,18}$"), t.try_cast("bigint"))
+        millis = F.when(F.abs(n) <= 253_402_300_799_999, F.timestamp_millis(n))
+        return F.when(t.rlike(RFC3339), F.try_to_timestamp(F.upper(t))).when(F.abs(n) > 10_000_000_000, millis).otherwise(F.timestamp_seconds(n))
+
+    return once(trim(text), of)
 
 
 def round6(x: Column) -> Column:
