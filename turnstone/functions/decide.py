@@ -15,7 +15,6 @@ from . import lexicon as L
 from . import rules as R
 from .text import _count, ascii_lower, decode_entities, is_question, is_shouting, languageness, looks_like_code_or_log, once, tokens, trim
 
-NOTHING = F.lit(None).cast("string")
 OPTION = "array<struct<text:string,chosen:boolean>>"
 
 

@@ -33,6 +33,10 @@ U32 = 4294967295
 UNKNOWN_TIMES = ("timestamp", "time", "ts", "created_at")
 
 
+def null() -> Column:
+    return F.lit(None)
+
+
 def content_id(text: Column) -> Column:
     """A hash of the content, 64 hex digits."""
     return F.sha2(text, 256)

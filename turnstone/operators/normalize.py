@@ -19,7 +19,7 @@ from ..functions import variant as V
 from . import events as E
 
 J = F.col
-NULL = F.lit(None)
+
 
 
 def _id(*parts: Column | str) -> Column:
@@ -33,7 +33,7 @@ def _n(i: Column) -> Column:
 def _parsed(r: DataFrame, rid: Column, ts: Column, sid: Column, drafts: Column, sid_start: Column | bool = False, project: Column | None = None) -> DataFrame:
     """Records as events.finish() takes them."""
     start = F.lit(sid_start) if isinstance(sid_start, bool) else sid_start
-    own = NULL if project is None else project
+    own = E.null() if project is None else project
     return r.select("run_id", "line_no", "byte_offset", rid.cast("string").alias("rid"), ts.alias("ts"), sid.cast("string").alias("sid"), F.coalesce(start, F.lit(False)).alias("sid_start"), own.cast(E.PROJECT).alias("project"), drafts.cast(E.DRAFTS).alias("drafts"))
 
 
@@ -367,13 +367,13 @@ def otel(raw: DataFrame) -> DataFrame:
         F.when(J("op").isin("session.start", "session_start", "gen_ai.session.start"), E.drafts(start))
         .when(J("op").isin("session.end", "session_end", "gen_ai.session.end"), E.drafts(end))
         .when(J("op").isin("execute_tool", "gen_ai.execute_tool"), tool)
-        .when(J("op").isin("file_operation", "gen_ai.file_operation"), F.when(path.isNotNull(), E.drafts(edit(NULL))).otherwise(lost))
+        .when(J("op").isin("file_operation", "gen_ai.file_operation"), F.when(path.isNotNull(), E.drafts(edit(E.null()))).otherwise(lost))
         .otherwise(F.when(F.size(talk) > 0, talk).otherwise(F.when(j.isNull(), _unknowns()).otherwise(lost)))
     )
     opens = J("op").isin("session.start", "session_start", "gen_ai.session.start")
     ts = E.time_of(j, "time", "timestamp", "timeUnixNano", "observedTimeUnixNano", "ts")
     bound = F.when(opens, E.project(cwd, git, V.text(a, "repo_root")))
-    return E.finish(_parsed(r, NULL, ts, V.text(a, "gen_ai.conversation.id"), drafts, project=bound), "otel", project_first=True, gaps=True)
+    return E.finish(_parsed(r, E.null(), ts, V.text(a, "gen_ai.conversation.id"), drafts, project=bound), "otel", project_first=True, gaps=True)
 
 
 # ---- flat exports: {kind} headers and {role} messages with calls, results and edits ----
@@ -409,14 +409,14 @@ def _export(raw: DataFrame, tool: str, starts=("session_start",), ends=("session
         message = message & J("kind").isNull()
     r = r.withColumn("what", F.when(~J("object"), "unknown").when(starting, "start").when(ending, "end").when(message, "message").otherwise("unknown"))
     git = E.git_ref(V.filled(j, "git", "sha") if tool in ("zed", "copilot", "vscode") else V.text(j, "git", "sha"), V.filled(j, "git", "branch") if tool in ("zed", "copilot", "vscode") else V.text(j, "git", "branch"))
-    cwd = F.coalesce(text(j, "cwd"), V.text(j, "worktree") if tool == "zed" else NULL.cast("string"), F.lit("."))
+    cwd = F.coalesce(text(j, "cwd"), V.text(j, "worktree") if tool == "zed" else E.null().cast("string"), F.lit("."))
     ref = lambda *keys: F.coalesce(*[text(j, k) for k in keys])
     wide = tool in ("cursor", "zed")
     start = E.draft("session_start", base, cwd=cwd, git=git, model=text(j, "model"), tool_version=ref("toolVersion", "tool_version") if wide else ref("toolVersion"))
-    end = E.draft("session_end", base, reason=text(j, "reason"), parent_id=ref("parentId", "parent_id") if wide else NULL)
+    end = E.draft("session_end", base, reason=text(j, "reason"), parent_id=ref("parentId", "parent_id") if wide else E.null())
     tokens = V.get(j, "usage")
     side = lambda k: V.first_natural(tokens, k, f"{k}_tokens") if wide else V.natural(tokens, k)
-    counts = [side("input"), side("output"), *[NULL if c is None else V.natural(tokens, c) for c in cache]]
+    counts = [side("input"), side("output"), *[E.null() if c is None else V.natural(tokens, c) for c in cache]]
     used = F.when(type_there(tokens) if tool == "windsurf" else counts[0].isNotNull() | counts[1].isNotNull(), E.usage(*counts))
     assistant = J("role") == "assistant"
     own = F.coalesce(J("own"), F.lit(""))
@@ -426,7 +426,7 @@ def _export(raw: DataFrame, tool: str, starts=("session_start",), ends=("session
     strange = turn_kind == "unknown"
     turn = E.draft(
         turn_kind, base, parent_id=ref("parentId", "parent_id") if wide else ref("parentId"), text=F.when(~strange, own), parts=F.when(~strange, shown.cast(f"array<{E.PART}>")),
-        thinking=F.when(assistant, text(j, "thinking")) if thinking else NULL, model=F.when(assistant, text(j, "model")), usage=F.when(assistant, used), raw_type=F.when(strange, J("role")), raw=F.when(strange, J("body")),
+        thinking=F.when(assistant, text(j, "thinking")) if thinking else E.null(), model=F.when(assistant, text(j, "model")), usage=F.when(assistant, used), raw_type=F.when(strange, J("role")), raw=F.when(strange, J("body")),
     )
     # Windsurf and the editor exports read elements of any type; the others skip what is no object.
     objects = lambda k: F.filter(F.transform(V.items_or_none(j, k), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda e: V.is_object(e["x"]) if once else F.lit(True))
@@ -434,7 +434,7 @@ def _export(raw: DataFrame, tool: str, starts=("session_start",), ends=("session
     index = lambda e: F.concat(_n(e["i"]), F.lit(":")) if edit_id else F.lit("")
 
     def make(kind: str, event_id: Column, **fields: Column) -> Column:
-        return E.draft(kind, event_id, once=event_id if once else NULL, parent_id=base, **fields)
+        return E.draft(kind, event_id, once=event_id if once else E.null(), parent_id=base, **fields)
 
     def call(e: Column, _: Column) -> Column:
         cid = F.coalesce(text(e["x"], "id"), _id(base, ":call:", _n(e["i"])))
@@ -447,7 +447,7 @@ def _export(raw: DataFrame, tool: str, starts=("session_start",), ends=("session
     def edit(e: Column, _: Column) -> Column:
         x = e["x"]
         path = F.coalesce(text(x, "path"), F.lit(""))
-        cid = F.coalesce(*[text(x, k) for k in edit_call], lone if sole_call else NULL.cast("string"))
+        cid = F.coalesce(*[text(x, k) for k in edit_call], lone if sole_call else E.null().cast("string"))
         lines = lambda k: F.coalesce(E.at_most_u32(V.natural(x, k)) if clamp else F.when(V.natural(x, k) <= E.U32, V.natural(x, k)), F.lit(0))
         own_id = _id(base, ids[2], _n(e["i"]), *([":", edit_id(x, path)] if edit_id else []))
         return make("file_edit", own_id, call_id=cid, path=path, old=text(x, "oldText"), new=text(x, "newText"), unified=text(x, "diff"), added=lines("added"), removed=lines("removed"))
@@ -517,7 +517,7 @@ def _store_messages(raw: DataFrame, tool: str, times: tuple[str, ...]) -> DataFr
     r = r.withColumn("what", F.when(~J("object"), "unknown").when(J("start"), "start").when(V.has(j, "role"), F.when(V.one_of(J("role"), ("user", "assistant")), "message").otherwise("odd")).otherwise("unknown"))
     opened = F.coalesce(_id(V.text(j, "sessionId"), ":start"), E.content_id(J("line")))
     text = F.coalesce(V.text(j, "text"), F.lit(""))
-    start = E.draft("session_start", opened, cwd=F.lit("."), model=V.text(j, "model") if tool == "hermes" else NULL, own_ts=E.time_of(j, *times))
+    start = E.draft("session_start", opened, cwd=F.lit("."), model=V.text(j, "model") if tool == "hermes" else E.null(), own_ts=E.time_of(j, *times))
     turn = E.draft(F.when(J("role") == "user", "user_turn").otherwise("assistant_turn"), base, text=text, parts=F.array(E.part("text", text=text)))
 
     def pair(c: Column, i: Column) -> Column:
