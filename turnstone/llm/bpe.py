@@ -14,9 +14,9 @@ query encodes side by side. Token lists whose neighbours all stand side by side
 the encoding of some text are the encoding of their own text, so where two segments
 share a whole token they are joined at it, exactly (Coder._joined).
 
-Words are encoded once for each partition and kept in a store bounded by bytes
-(STORE_BYTES); clearing it costs time only. The store and its DuckDB go when the
-partition ends. Nothing is shuffled. The vocabulary has a fixed size.
+Words are encoded once for each worker and kept in a store bounded by bytes
+(STORE_BYTES); clearing it costs time only. What a worker keeps between partitions is
+that store and the merge table, nothing that grows. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ import gc
 import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate, pairwise
 
 import numpy as np
@@ -37,8 +38,8 @@ from .common import pieces
 from .mixing import ORDER, placed
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Bytes of words, ids and decoded bytes in the store of one partition.
-STORE_BYTES = 24 << 20
+#: Bytes of words, ids and decoded bytes in the store of one worker.
+STORE_BYTES = 64 << 20
 BATCH_BYTES = 2 << 20
 #: Bytes of a segment of a long word, and of its overlap with the next.
 SEGMENT, OVERLAP = 512, 128
@@ -236,6 +237,11 @@ class Coder:
             yield b"".join([a for a, _ in found]), b"".join([b for _, b in found])
 
 
+@lru_cache(1)
+def coder(path: str, pattern: str) -> Coder:
+    return Coder(path, pattern)
+
+
 def give_back() -> None:
     """Collect what is left and hand free memory back: workers live on for other stages."""
     gc.collect()
@@ -265,7 +271,7 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = Coder(path, pattern)
+        tool = coder(path, pattern)
         gc.disable()  # the store holds many small objects without cycles
         try:
             for whole in batches:
@@ -278,8 +284,6 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
                     yield pa.RecordBatch.from_arrays(columns[:n] + batch.columns[2:], names=names[:n] + list(keep))
         finally:
             gc.enable()
-            tool.close()
-            del tool
             give_back()
 
     kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
