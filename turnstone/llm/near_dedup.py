@@ -36,6 +36,7 @@ BANDS, ROWS = 30, 4
 SKETCH_WORDS = 4  # of 64 bits
 SMALL = 32
 SALTS = 16
+COUNTERS = 256
 #: So far, over five deviations at 0.8, an estimate may lie under the similarity asked for.
 MARGIN = 0.33
 _SEED = mix(np.arange(1, BANDS * ROWS + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
@@ -264,6 +265,44 @@ def edits(who: DataFrame, texts_of, k: int, percent: int) -> DataFrame:
     return stored(met.mapInArrow(differ, f"x {key}, g {key}, c {key}, main {key}, a long, e array<long>"), "edits")
 
 
+def by_rarity(edited: DataFrame) -> DataFrame:
+    """edited with each member's edits in one order for its cluster: those that few members share first.
+
+    How many share an edit is counted by COUNTERS buckets of its hash, in each partition
+    and then over all, so no row is made for an edit; equal edits fall into equal buckets.
+    """
+    key = edited.schema["g"].dataType.simpleString()
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edited.schema.fields)
+    bucket = lambda e: (mix(np.array(e).view(U)) % U(COUNTERS)).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: dict = {}
+            for g, e in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                counts[g] = counts.get(g, 0) + np.bincount(bucket(e.values.to_numpy()), minlength=COUNTERS)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * COUNTERS), pa.array(np.concatenate(list(counts.values()) or [np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), batch.schema.field(0).type), lists], names=["g", "n"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = table["n"].combine_chunks().values.to_numpy().reshape(-1, COUNTERS).sum(axis=0)
+        return pa.table({"g": table["g"].slice(0, 1), "n": pa.array([total.tolist()], pa.list_(pa.int64()))})
+
+    totals = edited.select("g", "e").mapInArrow(count, f"g {key}, n array<long>").groupBy("g").applyInArrow(add, f"g {key}, n array<long>")
+    totals = totals.select("g", F.col("n").alias("shared"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    met = edited.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")).join(totals, ["g", "salt"]).select(*edited.columns, "shared")
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = []
+            for e, n in zip(batch.column("e"), batch.column("shared"), strict=True):
+                e = e.values.to_numpy()
+                every.append(e[np.lexsort((e, n.values.to_numpy()[bucket(e)]))])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(e) for e in every])]).astype(np.int32)), pa.array(np.concatenate(every) if every else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], lists], names=batch.schema.names[:-1])
+
+    return stored(met.mapInArrow(order, schema), "ordered")
+
+
 def across(edited: DataFrame, percent: int) -> DataFrame:
     """x, y: pairs of one cluster in different components, with all whose links join components that weren't.
 
@@ -272,8 +311,10 @@ def across(edited: DataFrame, percent: int) -> DataFrame:
     At the first that two share, in an order that holds for the cluster, neither has
     fewer edits left than they share; so only a part of each member's edits has to
     meet: of a member of the main component, which meets only those outside, about
-    the first half. Own shingles, which few have, stand before missing ones.
+    the first half. Rare edits stand first, so that members that differ from the
+    reference in common shingles only don't meet by these.
     """
+    edited = by_rarity(edited)
     each = edited.drop("e")
     outer = F.when(F.col("c") != F.col("main"), F.col("a"))
     low = each.groupBy("g").agg(F.min_by("x", "a").alias("y"), F.min_by("c", "a").alias("yc"), F.min("a").alias("low"), F.min(outer).alias("low_outer"))
