@@ -28,7 +28,7 @@ def parse_messages(out: str) -> list[tuple[str, int, str, str, str]]:
 
 def parse_files(out: str) -> list[tuple[str, str]]:
     rows, sha = [], None
-    for line in out.splitlines():
+    for line in out.split("\n"):  # not splitlines(), which takes the record mark for a line end
         if line.startswith(_RECORD):
             sha = line[1:].strip()
         elif sha and line.strip():

@@ -11,6 +11,7 @@ import json
 import sqlite3
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -198,8 +199,6 @@ def zed_blob(kind: str, data: bytes | None) -> str | None:
 
 def zed(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Threads by time of change and id: a header for each, then its messages."""
-    import pandas as pd
-
     fields = "id, coalesce(summary, '') AS summary, coalesce(updated_at, '') AS updated_at, coalesce(data_type, '') AS data_type, CAST(data AS BLOB) AS data"
     wide = sqlite_rows(spark, paths, f"SELECT {fields}, created_at FROM threads", "id string, summary string, updated_at string, data_type string, data binary, created_at string")
     # Older stores have no created_at; the first query gives no rows of theirs.
