@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnstone.functions import text as T
+from turnstone.operators import nodes as N
 from turnstone.operators import transcript as O
 from turnstone.sources.lines import split_lines
 from turnstone.streaming.watch import watch
@@ -101,7 +102,7 @@ def test_bindings_match_brute_force(spark):
 def test_empty_tables(spark):
     ev = spark.createDataFrame([], EVENT)
     found, decided = O.episodes(ev), O.decisions(ev)
-    assert O.nodes(decided, found, O.bindings(found, decided)).count() == 0
+    assert N.nodes(decided, found, O.bindings(found, decided)).count() == 0
 
 
 def test_numbering_dedup_and_stickiness(spark):
