@@ -235,6 +235,13 @@ def test_commit_decisions_with_long_numbers(spark, tmp_path):
     assert [r.epitome for r in M.classified(spark.createDataFrame(rows, G.COMMITS)).orderBy("sha").collect()] == ["12345a", "1.2.34"]
 
 
+def test_commit_links_with_long_numbers(spark, tmp_path):
+    """Files of commits that decide nothing are linked to nothing."""
+    con = _long_numbers(tmp_path)
+    got = formats.commit_links(spark, str(tmp_path)).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, con.execute(formats.ORACLES["commit_links"]).fetchall())) and len(got) > 100
+
+
 def test_hook(tmp_path):
     got = hook.record_hook(b'{"hook_event_name":"Stop","transcript_path":"/t.jsonl","x":1}')
     assert got.rest == {"x": 1} and got.record[0] == "/t.jsonl" and hook.record_hook(b"{}").record[0] == "<hook stdin>"
