@@ -216,6 +216,13 @@ def test_history(spark, tmp_path):
         G.read_history(spark, str(tmp_path / "none"))
 
 
+def test_vscode_files_of_both_forms(spark):
+    lines = ('{"id":"a","role":"user","text":"one"}', '{"id":"b","requests":[{"message":{"text":"two"},"response":"three"}]}', '{"id":"b","role":"user","text":"seen"}', '{"id":"c","sessionId":"s","role":"user","text":"four"}')
+    raw = spark.createDataFrame([("f", i + 1, 0, x) for i, x in enumerate(lines)], RAW)
+    got = NZ.normalize(raw, "vscode").orderBy("seq").collect()
+    assert [(r.seq, r.text) for r in got] == [(0, "one"), (1, "two"), (2, "three"), (3, "four")] and [r.session_id for r in got] == ["unknown"] + ["vscode-b"] * 3
+
+
 def _long_numbers(folder):
     """Orders whose numbers have up to 12 digits, and their lines; a connection with both."""
     con = duckdb.connect()

@@ -381,14 +381,14 @@ def otel(raw: DataFrame) -> DataFrame:
 
 def _export(raw: DataFrame, tool: str, starts=("session_start",), ends=("session_end",), empty: bool = True, session: str = "latch", ids: tuple[str, str, str] = ("#toolcall:", "#toolresult:", "#edit:"),
             thinking: bool = True, parts: bool = False, other: str = "whole", blocks: bool = False, once: bool = True, edit_call=("callId", "call_id"), edit_id=None, need_path: bool = False,
-            times=("ts", "timestamp", "time", "created_at"), cache=(None, None), sole_call: bool = False, project_first: bool = False, kinds_only: bool = False, clamp: bool = True) -> DataFrame:
+            times=("ts", "timestamp", "time", "created_at"), cache=(None, None), sole_call: bool = False, project_first: bool = False, kinds_only: bool = False, clamp: bool = True, beside: DataFrame | None = None) -> DataFrame:
     """What the flat exports share; the arguments are what sets them apart.
 
     empty: empty texts are texts. ids: infixes of derived ids. other: what becomes of
     another role ("whole" record unknown, "turn" unknown beside its calls, "children" only
     its calls, if it has some). once: derived events are kept once by id. edit_id: the
     path's part in an edit's id. need_path: edits without a path go. kinds_only: any other
-    kind makes a record unknown.
+    kind makes a record unknown. beside: parsed records of another form in the same files.
     """
     j = J("j")
     text = V.text if empty else V.filled
@@ -464,7 +464,8 @@ def _export(raw: DataFrame, tool: str, starts=("session_start",), ends=("session
         sid = F.when(J("what") != "unknown", sid)
     bound = F.when(J("what") == "start", E.project(cwd, git, ref("repoRoot", "repo_root") if wide else None))
     rid = F.when((J("what") != "unknown") | (F.lit(tool == "vscode") & J("j").isNotNull()), base)
-    return E.finish(_parsed(r, rid, E.time_of(j, *times), sid, drafts, sid_start=J("what") == "start", project=bound), tool, session, project_first)
+    parsed = _parsed(r, rid, E.time_of(j, *times), sid, drafts, sid_start=J("what") == "start", project=bound)
+    return E.finish(parsed if beside is None else parsed.unionByName(beside), tool, session, project_first)
 
 
 def cursor(raw: DataFrame) -> DataFrame:
@@ -486,10 +487,6 @@ def windsurf(raw: DataFrame) -> DataFrame:
 def vscode(raw: DataFrame) -> DataFrame:
     """Flat exports, and whole sessions with requests."""
     native = V.items(V.parse(T.trim(F.col("line"))), "requests").isNotNull()
-    flat = _export(
-        raw.where(~native | F.col("line").isNull()), "vscode", empty=False, ids=(":toolcall:", ":toolresult:", ":edit:"), thinking=False, other="children", once=False, times=("ts", "timestamp", "time"),
-        edit_id=lambda x, path: F.coalesce(V.filled(x, "id"), path),
-    )
     j = J("j")
     r = E.records(raw.where(native)).withColumn("base", F.coalesce(V.filled(j, "id"), E.content_id(J("line"))))
     spoken = lambda parts: F.array_join(F.filter(F.transform(parts, lambda x: F.when(V.text(x, "kind") == "text", V.filled(x, "text"))), lambda t: t.isNotNull()), "")
@@ -505,8 +502,11 @@ def vscode(raw: DataFrame) -> DataFrame:
 
     drafts = F.coalesce(F.flatten(F.transform(V.items(j, "requests"), request)), E.none())
     sid = F.coalesce(V.filled(j, "sessionId"), _id("vscode-", F.substring("base", 1, 16)))
-    sessions = E.finish(_parsed(r, J("base"), E.time_of(j, "ts", "timestamp", "time"), sid, drafts), "vscode")
-    return flat.unionByName(sessions)
+    # A file may hold both forms: its events have one numbering, one session and one set of ids seen.
+    return _export(
+        raw.where(~native | F.col("line").isNull()), "vscode", empty=False, ids=(":toolcall:", ":toolresult:", ":edit:"), thinking=False, other="children", once=False, times=("ts", "timestamp", "time"),
+        edit_id=lambda x, path: F.coalesce(V.filled(x, "id"), path), beside=_parsed(r, J("base"), E.time_of(j, "ts", "timestamp", "time"), sid, drafts),
+    )
 
 
 def _store_messages(raw: DataFrame, tool: str, times: tuple[str, ...]) -> DataFrame:
