@@ -249,6 +249,19 @@ def test_commit_links_with_long_numbers(spark, tmp_path):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, con.execute(formats.ORACLES["commit_links"]).fetchall())) and len(got) > 100
 
 
+def test_commits_with_odd_keys_and_files_equal_their_sql(spark, tmp_path):
+    """Files without a line number, and orders with negative or no keys."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE orders AS SELECT i AS o_orderkey, i % 7 AS o_custkey FROM range(-30, 60) r(i) UNION ALL SELECT NULL, 1")
+    con.execute("CREATE TABLE lineitem AS SELECT o_orderkey AS l_orderkey, CASE WHEN i < 5 THEN i END::INT AS l_linenumber FROM orders, range(1, 7) r(i) WHERE o_orderkey % 5 < i OR o_orderkey IS NULL")
+    for name in ("orders", "lineitem"):
+        con.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet'")
+    for name in ("commit_decisions", "commit_links"):
+        want = con.execute(formats.ORACLES[name]).fetchall()
+        got = [tuple(r) for r in formats.QUERIES[name](spark, str(tmp_path)).collect()]
+        assert sorted(map(repr, got)) == sorted(map(repr, want)) and want
+
+
 def test_hook(tmp_path):
     got = hook.record_hook(b'{"hook_event_name":"Stop","transcript_path":"/t.jsonl","x":1}')
     assert got.rest == {"x": 1} and got.record[0] == "/t.jsonl" and hook.record_hook(b"{}").record[0] == "<hook stdin>"

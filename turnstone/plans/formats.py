@@ -206,7 +206,7 @@ def commits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A commit for each order and a file for each of its lines, some twice."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
     kind, no = (F.col("o_orderkey") % len(COMMITS)).cast("int"), F.col("o_orderkey").cast("string")
-    text = lambda i: F.replace(F.element_at(F.array(*[F.lit(c[i]) for c in COMMITS]), kind + 1), F.lit("X"), no)
+    text = lambda i: F.replace(F.get(F.array(*[F.lit(c[i]) for c in COMMITS]), kind), F.lit("X"), no)
     sha = F.sha1(no.cast("binary"))
     c = o.select(sha.alias("sha"), (F.lit(1_700_000_000) + F.col("o_orderkey") % 1000).cast("bigint").alias("epoch"), F.when(F.col("o_custkey") % 3 > 0, F.concat(F.lit("dev"), F.col("o_custkey") % 3)).otherwise(" ").alias("author"), text(0).alias("subject"), text(1).alias("body"))
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
