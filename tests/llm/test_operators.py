@@ -212,6 +212,25 @@ def test_bpe_is_the_tokenizer(docs, none):
     assert bpe.op4(none).count() == 0
 
 
+def test_bpe_store_keeps_frequent_words(monkeypatch):
+    """Words that are met again stay in the bounded store; the ids are those of a store that is never full."""
+    import public_tokenizers as P
+    import tiktoken
+
+    monkeypatch.setattr(bpe, "STORE_BYTES", 40_000)
+    tool = bpe.Coder(bpe.vocabulary_path(), P.PATTERN)
+    e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=tool.rank, special_tokens={})
+    rng, solved, solve = random.Random(8), [], tool._solve
+    monkeypatch.setattr(tool, "_solve", lambda words: (solved.extend(words), solve(words)))
+    often = "Öften, seenwordz don't.\nStops  two\t x "
+    texts = [often + " ".join("".join(rng.choice("abcdeé.") for _ in range(9)) for _ in range(40)) + rng.choice(["", " ", "\n "]) for _ in range(30)]
+    for text in texts:
+        [(ids, back)] = tool.encode([text])
+        assert ids == b"".join(x.to_bytes(4, "little") for x in e.encode_ordinary(text)) and back == text.encode()
+    assert solved.count(" seenwordz") == 1 and tool.old_ids and 2 * tool.held < 2 * bpe.STORE_BYTES
+    tool.close()
+
+
 def test_bpe_of_long_words():
     """Runs, periods and random letters beyond a segment, exact and in about linear time."""
     import time

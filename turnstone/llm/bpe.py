@@ -15,8 +15,10 @@ the encoding of some text are the encoding of their own text, so where two segme
 share a whole token they are joined at it, exactly (Coder._joined).
 
 Words are encoded once for each worker and kept in a store bounded by bytes
-(STORE_BYTES); clearing it costs time only. What a worker keeps between partitions is
-that store and the merge table, nothing that grows. Nothing is shuffled.
+(STORE_BYTES). It has two halves: when the newer one is full it becomes the older one,
+whose words go unless they are met again, so that frequent words stay; forgetting
+costs time only. What a worker keeps between partitions is that store and the merge
+table, nothing that grows. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ from .mixing import ORDER, placed
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of words, ids and decoded bytes in the store of one worker.
-STORE_BYTES = 64 << 20
+STORE_BYTES = 160 << 20
 BATCH_BYTES = 2 << 20
 #: Bytes of a segment of a long word, and of its overlap with the next.
 SEGMENT, OVERLAP = 512, 128
@@ -109,14 +111,31 @@ class Coder:
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM source_rows")
             self.db.unregister("source_rows")
         self.crossing = regex.compile(r"\s\s|^\s|\s$").search
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        # Ids and decoded bytes by word, of each half of the store.
+        self.ids: dict[str, bytes] = {}
+        self.text: dict[str, bytes] = {}
+        self.old_ids: dict[str, bytes] = {}
+        self.old_text: dict[str, bytes] = {}
         self.held = 0
         self.size = {v: len(k) for k, v in self.rank.items()}
 
     def close(self) -> None:
-        self.known.clear()
+        for some in (self.ids, self.text, self.old_ids, self.old_text):
+            some.clear()
         self.db.close()
 
+    def _put(self, word: str, ids: bytes, text: bytes) -> None:
+        self.ids[word], self.text[word] = ids, text
+        self.held += 200 + 2 * len(ids) + 2 * len(text)
+
+    def _unknown(self, words: set[str]) -> set[str]:
+        """Those not in the store; those of its older half move to the newer one."""
+        new = words.difference(self.ids)
+        again = new.intersection(self.old_ids)
+        for w in again:
+            self._put(w, self.old_ids.pop(w), self.old_text.pop(w))
+        return new - again
+
     def _coded(self, parts: list[bytes], names: list[int]) -> list[pa.Table]:
         """(w, ids) of each part by the recursive query; names: its w."""
         out, at = [], 0
@@ -198,19 +217,26 @@ class Coder:
             flat = lists.flatten().to_numpy().astype("<u4").tobytes()
             bounds = (4 * np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])).tolist()
             for w, a, b in zip(some["w"].to_pylist(), bounds, bounds[1:], strict=False):
-                self.known[words[w]] = flat[a:b], text[w]
-                self.held += 200 + 2 * (b - a) + 2 * len(text[w])
+                self._put(words[w], flat[a:b], text[w])
 
     def _learn(self, units: set[str]) -> None:
         """Words are pieces too, so one store holds both."""
-        split = [(u, self.find(u)) for u in units]
-        self._solve(sorted({w for _, words in split for w in words if w not in self.known}))
-        get = self.known.__getitem__
+        split = list(zip(units, self._words(units), strict=True))
+        self._solve(sorted(self._unknown({w for _, words in split for w in words})))
         for u, words in split:
             if len(words) > 1:
-                found = [get(w) for w in words]
-                self.known[u] = b"".join([a for a, _ in found]), b"".join([b for _, b in found])
-                self.held += 200 + sum(len(a) + 2 * len(b) for a, b in found)
+                self._put(u, b"".join(map(self.ids.__getitem__, words)), b"".join(map(self.text.__getitem__, words)))
+
+    def _words(self, units: set[str]) -> Iterator[list[str]]:
+        """The matches in each unit. Units with a space in front, and no other, are matched as one text: see split()."""
+        plain = [u for u in units if u[:1] == " " and len(u) > 1 and not self.crossing(u[1:])]
+        matches = self.find("".join(plain))
+        ends, last = (np.cumsum(np.fromiter(map(len, x), np.int64, len(x))) for x in (matches, plain))
+        cut = np.searchsorted(ends, last)
+        if len(ends) < len(plain) or not np.array_equal(ends[np.minimum(cut, len(ends) - 1)], last):  # a pattern that leaves something out
+            return map(self.find, units)
+        of = {u: matches[a:b] for u, a, b in zip(plain, [0, *(cut + 1).tolist()], (cut + 1).tolist(), strict=False)}
+        return (of[u] if u in of else self.find(u) for u in units)
 
     def split(self, text: str) -> list[str]:
         """Pieces between which no match of the pattern lies.
@@ -225,16 +251,15 @@ class Coder:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """Ids as little-endian unsigned 32-bit integers and the bytes they decode to, for each text."""
-        if self.held > STORE_BYTES:
-            self.known.clear()
+        if 2 * self.held > STORE_BYTES:
+            self.old_ids, self.old_text, self.ids, self.text = self.ids, self.text, {}, {}
             self.held = 0
         split = [self.split(x) for x in texts]
-        if new := {u for units in split for u in units if u not in self.known}:
+        if new := self._unknown(set().union(*split)):
             self._learn(new)
-        get = self.known.__getitem__
+        ids, text = self.ids.__getitem__, self.text.__getitem__
         for units in split:
-            found = list(map(get, units))
-            yield b"".join([a for a, _ in found]), b"".join([b for _, b in found])
+            yield b"".join(map(ids, units)), b"".join(map(text, units))
 
 
 @lru_cache(1)
