@@ -119,6 +119,55 @@ def test_phrase_dedup(docs, none, monkeypatch):
     assert phrase_dedup.op9(none).count() == 0
 
 
+@pytest.mark.parametrize("most", [4000, 1])
+def test_phrases_of_any_other_row(docs, monkeypatch, most):
+    """With both=True no copy of a window stays, the first one included."""
+    monkeypatch.setattr(phrase_dedup, "MAX_RUNS", most)
+    words = {i: (t or "").split() for i, t, *_ in ROWS}
+    rows = defaultdict(set)
+    for k, w in words.items():
+        for i in range(len(w) - 12):
+            rows[tuple(w[i : i + 13])].add(k)
+    want = {k: {j for i in range(len(w) - 12) if len(rows[tuple(w[i : i + 13])]) > 1 for j in range(i, i + 13)} for k, w in words.items()}
+    got = {k: set() for k in words}
+    for r in phrase_dedup.repeats(suffix_dedup.keyed(docs), both=True).collect():
+        got[r.doc_id] |= set(range(r.a, r.b))
+    assert got == want and any(want.values())
+
+
+def test_short_passages_lose_their_whole_sentences(spark):
+    """Passages of over 50 words but under 400 bytes, in two documents or more, through the pipeline's stage."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+
+    def sentences(*sizes):
+        return [" ".join("%s%d" % (rng.choice("abcdef"), rng.randrange(10**4)) for _ in range(n)) + "." for n in sizes]
+
+    def put(passage, space=" "):
+        before, after = sentences(20, 9)[0][:-1], sentences(6, 30)
+        return before + "," + space + passage + " " + " ".join(after), before + ","
+
+    over, under, wide, own, plain = ([*sentences(*x)] for x in ((15, 16, 20), (15, 15, 20), (17, 17, 17), (17, 17, 17), (60,)))
+    rows, want = {}, {}
+    for k, passage, gone in [(1, over, 1), (2, over, 1), (3, over, 1), (4, under, 3), (5, under, 3), (6, wide, 1), (7, wide, 1), (8, plain, 1), (9, plain, 1)]:
+        text = " ".join(passage)
+        assert len(text.encode()) < 400
+        rows[k], head = put(text.replace(" ", "\t") if k == 7 else text)
+        # The first sentence of a passage begins within one of the row's, so it stays.
+        stays = " ".join(passage[:gone]).replace(" ", "\t" if k == 7 else " ") + ("\t" if k == 7 and len(passage) > 1 else " ")
+        want[k] = head + " " + stays + rows[k][len(head) + 1 + len(text) + 1 :]
+    rows[10], _ = put(" ".join(own) + " " + sentences(5)[0] + " " + " ".join(own))
+    # Here the passage is whole, from the line's start to the text's end.
+    rows[11] = sentences(9)[0] + "\n" + " ".join(over)
+    want |= {10: rows[10], 11: rows[11].split("\n")[0] + "\n", 12: None, 13: ""}
+    rows |= {12: None, 13: ""}
+    table = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows.items()], SCHEMA).repartition(3)
+    got = {r.doc_id: r for r in corpus_pipeline.repeated_substrings(spark, table, "").collect()}
+    assert {k: r.text for k, r in got.items()} == want
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got.values())
+
+
 @pytest.mark.parametrize("small", [32, 3])
 def test_near_dedup(docs, monkeypatch, small):
     monkeypatch.setattr(near_dedup, "SMALL", small)

@@ -24,7 +24,6 @@ table, nothing that grows. Nothing is shuffled.
 from __future__ import annotations
 
 import base64
-import ctypes
 import gc
 import hashlib
 from bisect import bisect_left
@@ -36,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pieces
+from .common import give_back, kept_by_workers, pieces
 from .mixing import ORDER, placed
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -267,14 +266,7 @@ def coder(path: str, pattern: str) -> Coder:
     return Coder(path, pattern)
 
 
-def give_back() -> None:
-    """Collect what is left and hand free memory back: workers live on for other stages."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
+kept_by_workers["coder"] = coder.cache_clear
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:

@@ -15,14 +15,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, stored
+from .common import give_back, pieces, stored
 from .kernels import Spans, anchored_runs, signed, text_bytes, words
 from .suffix_dedup import _rows, keyed, merged
 
@@ -61,6 +61,11 @@ def runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, f"h long, rh long, doc_id {key}, t int, s int, n int")
 
 
+def _strings(passages: Iterable[list[bytes]]) -> list[str]:
+    number: dict[bytes, str] = {}
+    return ["".join([number.setdefault(w, chr(i + 0x100 if i < 0xD000 else i + 0x1000)) for w in ws for i in (len(number),)]) for ws in passages]
+
+
 def later_windows(passages: list[tuple[list[bytes], object]], window: int) -> list[list[tuple[int, int]]]:
     """For each (words, owner) the spans that windows of a passage with a smaller owner cover.
 
@@ -69,8 +74,7 @@ def later_windows(passages: list[tuple[list[bytes], object]], window: int) -> li
     """
     import ahocorasick
 
-    number: dict[bytes, str] = {}
-    strings = ["".join([number.setdefault(w, chr(i + 0x100 if i < 0xD000 else i + 0x1000)) for w in ws for i in (len(number),)]) for ws, _ in passages]
+    strings = _strings(ws for ws, _ in passages)
     owner: dict[str, object] = {}
     shared: set[str] = set()
     for x, (_, who) in zip(strings, passages, strict=True):
@@ -101,8 +105,34 @@ def later_windows(passages: list[tuple[list[bytes], object]], window: int) -> li
     return out
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, t, a, b: spans of words that windows of a smaller doc_id cover; docs: from keyed(), doc_id not null."""
+def shared_windows(passages: list[tuple[list[bytes], object, object]], window: int) -> list[list[tuple[int, int]]]:
+    """For each (words, least owner, greatest owner) the spans that windows of two owners or more cover."""
+    strings = _strings(ws for ws, *_ in passages)
+    owners: dict[str, list] = {}
+    for x, (_, *own) in zip(strings, passages, strict=True):
+        for i in range(len(x) - window + 1):
+            g = x[i : i + window]
+            seen = owners.get(g)
+            owners[g] = own if seen is None else [min(own[0], seen[0]), max(own[1], seen[1])]
+    out: list[list[tuple[int, int]]] = []
+    for x in strings:
+        spans: list[tuple[int, int]] = []
+        for i in range(len(x) - window + 1):
+            least, most = owners[x[i : i + window]]
+            if least < most:
+                if spans and i <= spans[-1][1]:
+                    spans[-1] = (spans[-1][0], i + window)
+                else:
+                    spans.append((i, i + window))
+        out.append(spans)
+    return out
+
+
+def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, both: bool = False) -> DataFrame:
+    """doc_id, t, a, b: spans of words that windows of a smaller doc_id cover; docs: from keyed(), doc_id not null.
+
+    both: of any other doc_id, so that no copy stays.
+    """
     key = docs.schema["doc_id"].dataType.simpleString()
     row_schema = "h long, rh long, a int, b int"
     every = runs(docs, window, gram)
@@ -110,50 +140,53 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     shared = stored(every.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("rh").alias("lo"), F.max("rh").alias("hi")).where("first < last").select("h", "first", (F.col("lo") == F.col("hi")).alias("same")), "shared")
     hits = stored(every.join(shared, "h"), "hits")
     span = ["doc_id", "t", F.col("s").alias("a"), (F.col("s") + F.col("n") + (window - 1)).alias("b")]
-    settled = hits.where("same and doc_id > first").select(*span)
+    settled = hits.where("same" if both else "same and doc_id > first").select(*span)
     open_ = hits.where("not same").select("h", "rh", "doc_id", "t", "s", "n")
-    classes = stored(open_.groupBy("h", "rh").agg(F.min(F.struct("doc_id", "t", "s", "n")).alias("x")).select("h", "rh", "x.*"), "classes")
+    classes = stored(open_.groupBy("h", "rh").agg(F.min(F.struct("doc_id", "t", "s", "n")).alias("x"), F.max("doc_id").alias("last")).select("h", "rh", "x.*", "last"), "classes")
     large = stored(classes.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > MAX_RUNS).select("h", F.lit(True).alias("hot")), "large")
-    owners = classes.select("h", "rh", F.col("doc_id").alias("owner"))
+    owners = classes.select("h", "rh", F.col("doc_id").alias("owner"), "last")
     owned = stored(open_.join(owners, ["h", "rh"]), "owned")
-    settled = settled.unionByName(owned.where("doc_id > owner").select(*span))
+    settled = settled.unionByName(owned.where("owner < last" if both else "doc_id > owner").select(*span))
 
     classes = classes.join(large, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    wanted = classes.groupBy("doc_id", "t").agg(F.collect_list(F.struct("h", "rh", "hot", "s", "n")).alias("runs"))
+    wanted = classes.groupBy("doc_id", "t").agg(F.collect_list(F.struct("h", "rh", "hot", "last", "s", "n")).alias("runs"))
     read = docs.alias("r").join(wanted.alias("l"), ["doc_id", "t"]).select("doc_id", "t", "r.text", "l.runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = None
         for whole in batches:
             for batch in pieces(whole, "text"):
-                schema = schema or pa.schema([("h", pa.int64()), ("rh", pa.int64()), ("hot", pa.bool_()), ("doc_id", batch.schema.field(0).type), ("content", pa.binary())])
+                schema = schema or pa.schema([("h", pa.int64()), ("rh", pa.int64()), ("hot", pa.bool_()), ("doc_id", batch.schema.field(0).type), ("last", batch.schema.field(0).type), ("content", pa.binary())])
                 rows = []
                 for k, _, text, some in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     found = _WORD.findall(text.encode())
-                    rows += [(x["h"], x["rh"], x["hot"], k, b" ".join(found[x["s"] : x["s"] + x["n"] + window - 1])) for x in some]
+                    rows += [(x["h"], x["rh"], x["hot"], k, x["last"], b" ".join(found[x["s"] : x["s"] + x["n"] + window - 1])) for x in some]
                 yield _rows(rows, schema)
 
-    contents = stored(read.mapInArrow(cut, f"h long, rh long, hot boolean, doc_id {key}, content binary"), "contents")
+    contents = stored(read.mapInArrow(cut, f"h long, rh long, hot boolean, doc_id {key}, last {key}, content binary"), "contents")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("h", pa.int64()), ("rh", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
         rows: list[tuple] = []
         size, last = 0, None
+        limit = SHARD_WORDS * WINDOW // window  # windows are kept as strings, so longer ones take more room
 
         def solve():
-            found = later_windows([(r[2], r[3]) for r in rows], window)
+            found = shared_windows([r[2:] for r in rows], window) if both else later_windows([r[2:4] for r in rows], window)
             return _rows([(r[0], r[1], a, b) for r, spans in zip(rows, found, strict=True) for a, b in spans], schema)
 
         for batch in batches:
-            for h, rh, _, owner, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size >= SHARD_WORDS and h != last:
+            for h, rh, _, owner, most, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if size >= limit and h != last:
                     yield solve()
                     rows, size = [], 0
-                rows.append((h, rh, content.split(b" "), owner))
+                rows.append((h, rh, content.split(b" "), owner, most))
                 size += len(rows[-1][2])
                 last = h
         if rows:
             yield solve()
+        rows.clear()
+        give_back()
 
     by_shard = contents.where("not hot").repartition("h").sortWithinPartitions("h").mapInArrow(shards, row_schema)
 
@@ -166,11 +199,11 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
             at = np.arange(len(start))
             at, row = at[at + window <= first[row + 1]], row[at + window <= first[row + 1]]
             pick = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(spans.hash(at, at + window))), *[batch.column(j).take(pick) for j in (0, 1, 3)], pa.array((at - first[row]).astype(np.int32))], names=["w", "h", "rh", "owner", "a"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(spans.hash(at, at + window))), *[batch.column(j).take(pick) for j in (0, 1, 3, 4)], pa.array((at - first[row]).astype(np.int32))], names=["w", "h", "rh", "owner", "last", "a"])
 
-    hot = contents.where("hot").mapInArrow(windows, f"w long, h long, rh long, owner {key}, a int")
-    least = hot.groupBy("w").agg(F.min("owner").alias("least"), F.max("owner").alias("most")).where("least < most").select("w", "least")
-    by_count = hot.join(least, "w").where("owner > least").select("h", "rh", "a", (F.col("a") + window).alias("b"))
+    hot = contents.where("hot").mapInArrow(windows, f"w long, h long, rh long, owner {key}, last {key}, a int")
+    least = hot.groupBy("w").agg(F.min("owner").alias("least"), F.max("last" if both else "owner").alias("most")).where("least < most").select("w", "least")
+    by_count = hot.join(least, "w").where("true" if both else "owner > least").select("h", "rh", "a", (F.col("a") + window).alias("b"))
     parts = by_shard.unionByName(by_count)
     rest = owned.where("doc_id = owner").join(parts, ["h", "rh"]).select("doc_id", "t", (F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b")).alias("b"))
     return settled.unionByName(rest)
