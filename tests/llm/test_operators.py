@@ -74,6 +74,30 @@ def test_suffix_dedup_of_hot_anchors(docs, monkeypatch):
     assert result(suffix_dedup.op5(docs)) == want
 
 
+@pytest.mark.parametrize("most", [4000, 1])
+def test_suffix_dedup_of_periodic_texts(spark, monkeypatch, most):
+    """Texts that repeat a short piece lose what brute force says, and their equal runs are one row, not one for each piece."""
+    monkeypatch.setattr(suffix_dedup, "MAX_RUNS", most)
+    rng = random.Random(11)
+    piece, other = (" ".join(rng.choice(VOCAB) for _ in range(n)) + "\n" for n in (8, 30))
+    mid = " ".join(rng.choice(VOCAB) for _ in range(120))
+    texts = [piece * 300, piece * 299 + "end", mid + piece * 40 + mid[::-1] + piece * 60, other * 3, "é" * 900, mid[:500] + other * 9, piece * 12 + "a", None, "b" + piece * 9 + other]
+    data = {i: (t or "").encode() for i, t in enumerate(texts)}
+    n = Counter(b[i : i + 400] for b in data.values() for i in range(len(b) - 399))
+    want = {}
+    for k, b in data.items():
+        gone = bytearray(len(b))
+        for i in range(len(b) - 399):
+            if n[b[i : i + 400]] > 1:
+                gone[i : i + 400] = b"\1" * 400
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        want[k] = (len(b), len(b) - len(kept), len(re.findall(rb"\x01+", bytes(gone))), sha(kept))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert result(suffix_dedup.op5(docs)) == want
+    keys = Counter((r.h, r.rh, r.doc_id) for r in suffix_dedup.runs(suffix_dedup.keyed(docs), 400, 200).collect())
+    assert max(keys.values()) <= 2  # two stretches of one document
+
+
 def test_anchors_do_not_depend_on_length():
     import numpy as np
 
